@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckon.llm import decontam, language, mixing, simhash
+from reckon.llm import decontam, flac, html_extract, language, line_dedup, mixing, quality, secret_scan, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -21,12 +29,35 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.repeated_runs(table(spark, sf_dir, "documents"))
+    n = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["first"], r["last"])), ",")
+    return found.select("doc_id", "n_lines", "n_words", n.alias("n_removed"), runs.alias("removed_lines"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, keep=["doc_id"])
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs, secret_scan.fit_dictionary(docs), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("found", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("novel").alias("n_novel"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed("found").alias("spans"),
+    )
+
+
+def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def held_out(k: int, rest: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % k == rest
 
@@ -38,16 +69,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "position_share")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(4, 2))
+    scored = quality.add_score(docs, machine, keep=["doc_id"])
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
 
 
 QUERIES = {
-    "op3_benchmark_decontamination": op3_benchmark_decontamination,
-    "op5_simhash_near_dedup": op5_simhash_near_dedup,
-    "op8_language_id": op8_language_id,
-    "op10_source_mixing": op10_source_mixing,
-}
+    f.__name__: f
+    for f in (
+        op1_html_extract, op2_sharding, op3_benchmark_decontamination, op4_line_dedup, op5_simhash_near_dedup,
+        op6_secret_scan, op7_flac_media, op8_language_id, op9_quality, op10_source_mixing,
+    )
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
