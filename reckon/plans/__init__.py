@@ -1 +1 @@
-"""See the modules of this package."""
+"""Plans that chain operators: pass configuration and the reconciliation of runs."""
