@@ -29,7 +29,7 @@ def run(spark, docs):
 
 def test_loads_are_near_equal_and_groups_stay_together(spark):
     rng = random.Random(3)
-    docs = [(i, "word " * int(rng.lognormvariate(5, 1))) for i in range(6000)]
+    docs = [(i, f"{i % 3000} " + "word " * int(rng.lognormvariate(5, 1))) for i in range(6000)]
     docs += [(10_000 + i, "the same text in many rows") for i in range(3000)]
     docs += [(20_000, None), (20_001, ""), (None, "no id"), (5, docs[5][1]), (5, docs[5][1])]
     rng.shuffle(docs)
