@@ -21,7 +21,7 @@ from reckon.llm.mixing import word_count
 SHARDS = 24
 DIMS = ("bytes", "tokens", "rows")
 #: Weight of each dimension in the dot product; the sizes in bytes are what must come out near equal.
-EMPHASIS = np.array([1.0, 0.5, 0.1])
+EMPHASIS = np.array([1.0, 0.05, 0.003])
 WHOLE = 16
 WIDE = 8
 GROUPS_PER_BLOCK = 4000
