@@ -307,21 +307,22 @@ def subset_sum(cents: list[int], target: int, most: int) -> list[int] | None:
 def _group_solver(most: int):
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         rows, used = [], set()
-        singles = frame.sort_values(["size", "s_ord", "s_id"], ascending=[False, True, True], kind="stable")
-        for sid in singles["s_id"].drop_duplicates():
-            mine = frame[frame["s_id"] == sid].sort_values(["m_ord", "m_id"], kind="stable")
-            mine = mine[~mine["m_id"].isin(used)]
-            best = None
-            for _, items in mine.groupby("m_vendor", sort=False):
-                if len(items) < 2:
-                    continue
-                pick = subset_sum(items["m_cents"].tolist(), int(items["s_cents"].iloc[0]), most)
-                if pick and (best is None or len(pick) > len(best)):
-                    best = items.iloc[pick]
-            if best is not None:
-                used.update(best["m_id"])
-                ids = best.sort_values(["m_date", "m_id"])["m_id"].tolist()
-                rows.append((frame["run_id"].iloc[0], sid, ids))
+        singles: dict[str, list] = {}
+        for r in sorted(frame.itertuples(index=False), key=lambda r: (-r.magnitude, r.s_ord, r.s_id, r.m_ord, r.m_id)):
+            singles.setdefault(r.s_id, []).append(r)
+        for sid, mine in singles.items():
+            by_vendor: dict[str, list] = {}
+            for r in mine:
+                if r.m_id not in used:
+                    by_vendor.setdefault(r.m_vendor, []).append(r)
+            best: list = []
+            for items in by_vendor.values():
+                pick = subset_sum([r.m_cents for r in items], mine[0].s_cents, most) if len(items) > 1 else None
+                if pick and len(pick) > len(best):
+                    best = [items[i] for i in pick]
+            if best:
+                used.update(r.m_id for r in best)
+                rows.append((mine[0].run_id, sid, [r.m_id for r in sorted(best, key=lambda r: (r.m_date, r.m_id))]))
         return pd.DataFrame(rows, columns=["run_id", "s_id", "m_ids"])
 
     return solve
@@ -346,12 +347,21 @@ def group_pairs(txns: DataFrame, p: Pass, same_account: DataFrame | None = None)
         enough = F.sum(F.abs("m_amount")).over(W.partitionBy("run_id", "s_id", "m_vendor")) >= F.abs("s_amount")
         near = near.withColumn("several", several & enough).where("several")
         cents = lambda c: (F.col(c) * 100).cast("long")
-        near = near.select("run_id", "s_id", "s_ord", cents("s_amount").alias("s_cents"), F.abs("s_amount").cast("double").alias("size"), "m_id", "m_ord", "m_vendor", "m_date", cents("m_amount").alias("m_cents"))
-        near = stash(near, "group-candidates")
+        near = near.select("run_id", "s_id", "s_ord", cents("s_amount").alias("s_cents"), F.abs("s_amount").cast("double").alias("magnitude"), "m_id", "m_ord", "m_vendor", "m_date", cents("m_amount").alias("m_cents"))
+        # a single whose rows no other single could take, all of one vendor and summing to it, needs no search
+        shared = F.count(F.lit(1)).over(W.partitionBy("run_id", "m_id")) > 1
+        near = stash(near.withColumn("shared", shared), "group-candidates")
+        sums = near.groupBy("run_id", "s_id").agg(
+            F.max("shared").alias("shared"), F.countDistinct("m_vendor").alias("vendors"), F.count(F.lit(1)).alias("n"), F.sum("m_cents").alias("total"),
+            F.first("s_cents").alias("target"), F.transform(F.array_sort(F.collect_list(F.struct("m_date", "m_id"))), lambda m: m["m_id"]).alias("m_ids"),
+        ).withColumn("plain", ~F.col("shared") & (F.col("vendors") == 1) & (F.col("n") <= p.max_group) & (F.col("total") == F.col("target")))
+        sums = stash(sums, "group-sums")
+        rest = near.join(sums.where("plain").select("run_id", "s_id"), ["run_id", "s_id"], "left_anti")
         node = lambda s, c: F.concat_ws("\u0001", F.lit(s), "run_id", c)
-        keyed = near.withColumn("a", node("s", "s_id")).withColumn("b", node("m", "m_id"))
+        keyed = rest.withColumn("a", node("s", "s_id")).withColumn("b", node("m", "m_id"))
         groups = connected_components(keyed)
         found = keyed.join(groups.withColumnRenamed("node", "a"), "a").drop("a", "b").groupBy("component").applyInPandas(_group_solver(p.max_group), "run_id string, s_id string, m_ids array<string>")
+        found = found.unionByName(sums.where("plain").select("run_id", "s_id", "m_ids"))
         bank_ids, ledger_ids = ((F.array("s_id"), F.col("m_ids")) if one == "bank" else (F.col("m_ids"), F.array("s_id")))
         pairs = found.select("run_id", bank_ids.alias("bank_ids"), ledger_ids.alias("ledger_ids"))
         pairs = stash(score_groups(pairs, txns, p.name), "group-pairs")
