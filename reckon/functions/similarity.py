@@ -62,7 +62,7 @@ def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
     at = np.arange(wide)[None]
     free = at < ny[:, None]
     taken_x = np.zeros((n, x.shape[1]), bool)
-    for i in range(x.shape[1]):
+    for i in range(x.shape[1] if wide else 0):
         fit = free & (at >= (i - reach)[:, None]) & (at <= (i + reach)[:, None]) & (y == x[:, i : i + 1]) & (i < nx)[:, None]
         got = fit.any(axis=1)
         rows = np.flatnonzero(got)

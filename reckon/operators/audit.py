@@ -76,6 +76,7 @@ def verify_chain(log: DataFrame, chain: str) -> DataFrame:
     first = rows.groupBy("chain").agg(F.min("seq").alias("start"))
     joined = rows.join(after, ["chain", "seq"], "left").join(first, "chain")
     linked = F.col("prev_hash") == F.when(F.col("seq") == F.col("start"), GENESIS).otherwise(F.col("expected"))
-    bad = F.min(F.when(~F.coalesce(own & linked, F.lit(False)), F.col("seq")))
-    out = joined.groupBy("chain").agg(bad.alias("bad"), F.min("start").alias("start"), F.count(F.lit(1)).alias("n"))
-    return out.select("chain", F.col("bad").isNull().alias("ok"), F.when(F.col("bad").isNull(), F.col("n")).otherwise(F.col("bad") - F.col("start")).alias("good"))
+    judged = joined.withColumn("good", F.coalesce(own & linked, F.lit(False)))
+    breaks = judged.groupBy("chain").agg(F.min(F.when(~F.col("good"), F.col("seq"))).alias("bad"))
+    before = F.count(F.when(F.col("bad").isNull() | (F.col("seq") < F.col("bad")), 1))
+    return judged.join(breaks, "chain").groupBy("chain").agg(F.first(F.col("bad").isNull()).alias("ok"), before.alias("good"))
