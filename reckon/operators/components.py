@@ -34,6 +34,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     now = stash(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(max_rounds):
         new = stash(_hook(_hook(now, True), False), "edges")
         # a forest of stars: no node has two parents and no parent has a parent

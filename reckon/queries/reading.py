@@ -285,9 +285,10 @@ def rm2_date_proposals(spark, d):
     return R.date_proposals(late).withColumn("days", F.col("days").cast("long"))
 
 
-@query("SELECT run_id, count(*) AS supporting FROM i WHERE side = 'bank' AND amount < 0 AND amount >= -2000 AND vendor = 'kofi' GROUP BY run_id HAVING count(*) >= 2")
+@query("SELECT run_id, count(*) AS supporting FROM i WHERE side = 'bank' AND amount < 0 AND CAST(amount / 100 AS DECIMAL(18,2)) >= -2000 AND vendor = 'kofi' GROUP BY run_id HAVING count(*) >= 2")
 def rm3_charge_proposals(spark, d):
     t = fixture.inside(spark, d)
+    t = t.withColumn("amount", (F.col("amount") / 100).cast("decimal(18,2)"))
     return R.charge_proposals(t.withColumn("vendor", F.when(F.col("vendor") == VENDORS[0], "Bank — charges").otherwise(F.col("vendor"))))
 
 
