@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,15 @@ def cuts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system, so that a reused worker does not hold its last task's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_texts(
     df: DataFrame,
     fields: list[T.StructField],
@@ -82,6 +92,7 @@ def map_texts(
                 made = f(data, offsets, null)
                 cols = [part.column(0)] + ([part.column(1)] if with_text else []) + made
                 yield pa.RecordBatch.from_arrays(cols, names=[h.name for h in head] + [x.name for x in named])
+        give_back_memory()
 
     out = packed.mapInArrow(run, T.StructType(head + named))
     back = [F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in carried]

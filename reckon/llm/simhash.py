@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reckon.durable import drop_stash, stash
-from reckon.llm.common import map_texts
+from reckon.llm.common import give_back_memory, map_texts
 from reckon.operators.components import connected_components
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 #: (query, node) pairs that a search holds at once.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -187,6 +187,7 @@ def _links(radius: int):
             held.append(now[:, last:])
         if held:
             yield solve(*columns(held))
+        give_back_memory()
 
     return run
 
