@@ -14,8 +14,8 @@ from reckon.llm import decontam, language, mixing, sharding, simhash
 from reckon.llm.queries import held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if this probability of its language is reached; junk of one language still is.
-LEAST_SCORE = 0.35
+#: A document stays if this pooled probability is reached, which is hardly above chance for a few languages.
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
