@@ -114,32 +114,44 @@ def _residual(x: np.ndarray, coefs: np.ndarray, shift: np.ndarray) -> np.ndarray
     total = np.zeros_like(x)
     for j in range(coefs.shape[1]):
         total[:, j + 1 :] += coefs[:, j : j + 1] * x[:, : x.shape[1] - j - 1]
-    return x - (total >> shift[:, None])
+    total >>= shift[:, None]
+    return x - total
 
 
 def encode_frames(x: np.ndarray, size: np.ndarray, number: np.ndarray) -> list[bytes]:
     """Frames of the rows of x [F, BLOCK] (int64, -128..127), of which row f counts its first size[f] samples."""
     n = len(x)
     inside = np.arange(BLOCK)[None] < size[:, None]
+    at = np.arange(n)
     best_bits = 8 * size  # verbatim
     best = np.full(n, 1)
     order, shift = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    coefs, rice, zig = np.zeros((n, ORDER), np.int64), np.zeros(n, np.int64), np.zeros((n, BLOCK), np.int64)
-    c, s = _predictors(np.where(inside, x, 0), size)
-    for kind, p, cs, sh in [*((8 + p, p, np.tile(np.array([FIXED[p]], np.int64).reshape(1, p), (n, 1)), np.zeros(n, np.int64)) for p in range(5)), (32 + ORDER - 1, ORDER, c, s)]:
-        r = _residual(x, cs, sh)
-        z = np.where(inside, (r << 1) ^ (r >> 63), 0)
-        z[:, :p] = 0
+    coefs, rice, zig = np.zeros((n, ORDER), np.int64), np.zeros(n, np.int64), np.zeros((n, BLOCK), np.int32)
+    x = np.where(inside, x, 0).astype(np.int32)
+    c, s = _predictors(x, size)
+    # of the fixed predictors the one of least residual; each order is the difference of the one before
+    differences, r = [x], x
+    for _ in range(4):
+        r = np.diff(r, axis=1, prepend=0).astype(np.int32)
+        differences.append(r)
+    loss = np.stack([np.where(inside, np.abs(d), 0)[:, p:].sum(axis=1) + 64 * p for p, d in enumerate(differences)], axis=1)
+    fixed = loss.argmin(axis=1)
+    plain = np.stack(differences)[fixed, at]
+    full = np.full(n, ORDER)
+    for kind, p, residual in ((8 + fixed, fixed, plain), (np.full(n, 32 + ORDER - 1), full, _residual(x, c.astype(np.int32), s.astype(np.int32)))):
+        z = np.where(inside & (np.arange(BLOCK)[None] >= p[:, None]), (residual << 1) ^ (residual >> 31), 0)
         coded = size - p
-        bits = np.stack([(z >> k).sum(axis=1) + coded * (1 + k) for k in range(9)], axis=1)
-        k = bits.argmin(axis=1)
-        total = bits[np.arange(n), k] + 8 * p + 10 + (9 + PRECISION * p if kind >= 32 else 0)
+        guess = np.log2(np.maximum(z.sum(axis=1) / np.maximum(coded, 1), 1)).astype(np.int64)
+        tries = [np.clip(guess + step, 0, 14) for step in (-1, 0, 1)]
+        costs = np.stack([(z >> k[:, None].astype(np.int32)).sum(axis=1) + coded * (1 + k) for k in tries], axis=1)
+        k = np.stack(tries, axis=1)[at, costs.argmin(axis=1)]
+        total = costs.min(axis=1) + 8 * p + 10 + np.where(kind >= 32, 9 + PRECISION * p, 0)
         win = total < best_bits
         best_bits = np.where(win, total, best_bits)
-        best[win], order[win], rice[win], shift[win] = kind, p, k[win], sh[win]
-        coefs[win] = 0
-        coefs[win, :p] = cs[win]
+        best[win], order[win], rice[win] = kind[win], p[win], k[win]
         zig[win] = z[win]
+    lpc_won = best >= 32
+    coefs[lpc_won], shift[lpc_won] = c[lpc_won], s[lpc_won]
     flat = np.where(inside, x, x[:, :1]) == x[:, :1]
     same = flat.all(axis=1)
     best[same], best_bits[same], order[same] = 0, 8, 0
@@ -265,6 +277,10 @@ def find_frames(buf: bytes) -> tuple[list[tuple[int, int, int, int]], int, bytes
     return [tuple(f) for f in found], total, md5
 
 
+#: Leading zeros of sixteen bits.
+_ZEROS = 16 - np.ceil(np.log2(np.arange(1 << 16) + 1)).astype(np.int64)
+
+
 class _Bits:
     """Reads bit fields at many places of one buffer at once."""
 
@@ -273,7 +289,6 @@ class _Bits:
         self.word = np.zeros(len(buf) + 8, np.uint64)
         for j in range(8):
             self.word |= padded[j : j + len(buf) + 8] << np.uint64(56 - 8 * j)
-        self.zeros = np.array([16 - int(i).bit_length() for i in range(1 << 16)], np.int64)
 
     def head(self, at: np.ndarray) -> np.ndarray:
         return self.word[at >> 3] << (at & 7).astype(np.uint64)
@@ -285,14 +300,26 @@ class _Bits:
 
     def unary(self, at: np.ndarray) -> np.ndarray:
         """Number of zero bits before the next one bit."""
-        q = self.zeros[(self.head(at) >> np.uint64(48)).astype(np.int64)]
+        q = _ZEROS[(self.head(at) >> np.uint64(48)).astype(np.int64)]
         more = np.flatnonzero(q == 16)
         while len(more):
-            step = self.zeros[(self.head(at[more] + q[more]) >> np.uint64(48)).astype(np.int64)]
+            step = _ZEROS[(self.head(at[more] + q[more]) >> np.uint64(48)).astype(np.int64)]
             q[more] += step
             more = more[step == 16]
         return q
 
+    def rice(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned Rice codes of parameter k (at most 30): their values and widths."""
+        word = self.head(at)
+        q = _ZEROS[(word >> np.uint64(48)).astype(np.int64)]
+        # the stop bit is shifted out first, then the k bits behind it come down
+        low = ((word << (q + 1).astype(np.uint64)) >> np.uint64(34)).astype(np.int64) >> (30 - k)
+        far = np.flatnonzero(q == 16)
+        if len(far):
+            q[far] = self.unary(at[far])
+            low[far] = self.take(at[far] + q[far] + 1, k[far])
+        return (q << k) | low, q + 1 + k
+
 
 def decode_frames(buf: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Samples [F, max size] of frames in one buffer; a wrong checksum raises."""
@@ -313,6 +340,7 @@ def decode_frames(buf: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.
     coded = np.flatnonzero(kind >= 8)
     if not len(coded):
         return out.T
+    coded = coded[np.argsort(-size[coded], kind="stable")]  # long frames first: those still live are a prefix
     kind, at, size = kind[coded], at[coded], size[coded]
     order = np.where(kind >= 32, kind - 31, kind - 8)
     most = int(order.max())
@@ -340,8 +368,10 @@ def decode_frames(buf: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.
     next_part, per_part = order.copy(), size // parts
     upto = per_part.copy()
     k, raw = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    live_rows = np.searchsorted(-size, -np.arange(longest), "left")
     for t in range(longest):
-        live = np.flatnonzero((t >= order) & (t < size)) if t < most or t >= size.min() else slice(None)
+        m = int(live_rows[t])
+        live = np.flatnonzero(t >= order[:m]) if t < most else slice(0, m)
         fresh = (next_part == t) & (t < size)
         if fresh.any():
             f = np.flatnonzero(fresh)
@@ -354,11 +384,8 @@ def decode_frames(buf: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.
             next_part[f] = upto[f]
             upto[f] += per_part[f]
         a, kk = at[live], k[live]
-        q = bits.unary(a)
-        low = bits.take(a + q + 1, kk)
-        z = (q << kk) | low
+        z, used = bits.rice(a, kk)
         value = (z >> 1) ^ -(z & 1)
-        used = q + 1 + kk
         if raw.any():
             esc = raw[live] > 0
             width = raw[live][esc] - 1
@@ -366,11 +393,16 @@ def decode_frames(buf: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.
             used[esc] = width
         r[t, live] = value
         at[live] = a + used
+    # the history of the first samples is empty: rows of zeros before them
+    history = np.concatenate([np.zeros((most, n), np.int64), r])
+    turned = coefs[::-1]
     for t in range(1, longest):
-        total = np.zeros(n, np.int64)
-        for p in range(min(most, t)):
-            total += coefs[p] * r[t - 1 - p]
-        r[t] += np.where((t >= order) & (t < size), total >> shift, 0)
+        m = int(live_rows[t])
+        step = (turned[:, :m] * history[t : t + most, :m]).sum(axis=0) >> shift[:m]
+        if t < most:
+            step *= t >= order[:m]
+        history[t + most, :m] += step
+    r = history[most:]
     out[:, coded] = r
     return out.T
 
