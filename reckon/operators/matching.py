@@ -203,22 +203,25 @@ def _solve(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.iloc[sorted(chosen)][["run_id", "b_id", "l_id"]]
 
 
-def best_pairs(edges: DataFrame) -> DataFrame:
+def best_pairs(edges: DataFrame, exact: bool = False) -> DataFrame:
     """The edges of an optimal one-to-one assignment in each connected component of each run.
 
     An edge whose ends have no other edge is taken at once. Among the rest, components are found by star
-    contraction and solved one by one. Ties go to the order of ids, as far as the solver meets them.
+    contraction and solved one by one; edges of an exact pass need none of that, as they can only conflict
+    within one amount and date of a run. Ties go to the order of ids, as far as the solver meets them.
     """
     edges = stash(edges, "edges")
     lone = (F.count(F.lit(1)).over(W.partitionBy("run_id", "b_id")) == 1) & (F.count(F.lit(1)).over(W.partitionBy("run_id", "l_id")) == 1)
-    flagged = stash(edges.select("run_id", "b_id", "l_id", "score").withColumn("lone", lone), "edge-flags")
+    flagged = stash(edges.select("run_id", "b_id", "l_id", "score", "b_amount", "b_date").withColumn("lone", lone), "edge-flags")
     single = flagged.where("lone").select("run_id", "b_id", "l_id")
     rest = flagged.where("not lone")
-    node = lambda s, c: F.concat_ws("\u0001", F.lit(s), "run_id", c)
-    rest = rest.withColumn("a", node("b", "b_id")).withColumn("b", node("l", "l_id"))
-    groups = connected_components(rest)
-    grouped = rest.join(groups.withColumnRenamed("node", "a"), "a")
-    solved = grouped.groupBy("component").applyInPandas(_solve, "run_id string, b_id string, l_id string")
+    if exact:
+        grouped = rest.groupBy("run_id", "b_amount", "b_date")
+    else:
+        node = lambda s, c: F.concat_ws("\u0001", F.lit(s), "run_id", c)
+        rest = rest.withColumn("a", node("b", "b_id")).withColumn("b", node("l", "l_id"))
+        grouped = rest.join(connected_components(rest).withColumnRenamed("node", "a"), "a").groupBy("component")
+    solved = grouped.applyInPandas(_solve, "run_id string, b_id string, l_id string")
     return edges.join(single.unionByName(solved), ["run_id", "b_id", "l_id"])
 
 
@@ -232,7 +235,7 @@ def pairs_of(chosen: DataFrame, name: str) -> DataFrame:
 
 def one_to_one(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_account: DataFrame | None = None) -> DataFrame:
     """Pairs that a pass of kind exact, date, fuzzy or relaxed makes among unmatched rows."""
-    return pairs_of(best_pairs(candidate_edges(txns, p, rules, same_account)), p.name)
+    return pairs_of(best_pairs(candidate_edges(txns, p, rules, same_account), p.kind == "exact"), p.name)
 
 
 def without_matched(txns: DataFrame, pairs: DataFrame) -> DataFrame:
