@@ -29,10 +29,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.repeated_runs(table(spark, sf_dir, "documents"))
-    n = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
-    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["first"], r["last"])), ",")
-    return found.select("doc_id", "n_lines", "n_words", n.alias("n_removed"), runs.alias("removed_lines"))
+    found = line_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
+    spans = F.array_join(F.transform("spans", lambda r: F.concat_ws(":", r["first"], r["last"])), ",")
+    return found.select("doc_id", "n_lines", "n_words", n.alias("n_removed_words"), spans.alias("removed_words"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,48 @@ def test_texts_lose_their_later_copies(spark):
 def test_empty(spark):
     df, rows = found(spark, [])
     assert rows == [] and line_dedup.drop_repeated_runs(df).count() == 0
+
+
+def brute_words(docs, run=50):
+    """Words inside any run of ``run`` words that stands at an earlier place, whatever its lines."""
+    rows = sorted({(i is None, i if i is not None else 0, key, t or "") for i, key, t in docs})
+    seen, out = set(), {}
+    for no_id, i, _, text in rows:
+        words, gone = text.lower().split(), set()
+        for a in range(len(words) - run + 1):
+            content = tuple(words[a : a + run])
+            if content in seen:
+                gone.update(range(a, a + run))
+            seen.add(content)
+        out[(None if no_id else i, text)] = gone
+    return out
+
+
+def words_gone(spark, docs):
+    df = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
+    rows = line_dedup.repeated_spans(df).collect()
+    return rows, {r.doc_id: {k for a, b in r.spans for k in range(a, b + 1)} for r in rows}
+
+
+def test_words_match_brute_force(spark):
+    rng = random.Random(3)
+    docs = corpus(rng)
+    passage = [f"q{k}" for k in range(130)]
+    for i in range(300, 320):  # passages cut anywhere, inside lines of other words
+        a = rng.randint(0, 70)
+        b = rng.randint(a + 45, 130)
+        docs.append((i, f"left{i} more{i} " + " ".join(passage[a:b]) + f" right{i}\n" + docs[i % 80][1]))
+    rows, gone = words_gone(spark, docs)
+    keys = {r.doc_id: r.text_key for r in rows}
+    want = brute_words([(i, keys[i], t) for i, t in docs])
+    assert len(rows) == len(docs)
+    for i, t in docs:
+        assert gone[i] == want[(i, t or "")], i
+    assert {r.doc_id: r.n_lines for r in rows} == {i: len((t or "").split("\n")) - ((t or "").endswith("\n") or not t) for i, t in docs}
+
+
+def test_passages_inside_longer_lines_go(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    df = spark.createDataFrame([(1, f"one two {passage} three\nend"), (2, f"four {passage} five six\nmore"), (3, f"x\ny {passage}\nz")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_runs(df).collect()}
+    assert got == {1: f"one two {passage} three\nend", 2: "four five six\nmore", 3: "x\ny\nz"}
