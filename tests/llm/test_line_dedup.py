@@ -117,3 +117,11 @@ def test_passages_inside_longer_lines_go(spark):
     df = spark.createDataFrame([(1, f"one two {passage} three\nend"), (2, f"four {passage} five six\nmore"), (3, f"x\ny {passage}\nz")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.drop_repeated_runs(df).collect()}
     assert got == {1: f"one two {passage} three\nend", 2: "four five six\nmore", 3: "x\ny\nz"}
+
+
+def test_a_run_goes_to_its_last_word(spark):
+    line = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    docs = [(1, f"{line('a', 60)}\n{line('b', 40)}\n{line('x', 70)}"), (2, f"{line('c', 5)}\n{line('a', 60)}\n{line('b', 40)}\n{line('y', 70)}\n")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_runs(df).collect()}
+    assert got == {1: docs[0][1], 2: f"{line('c', 5)}\n{line('y', 70)}\n"}
