@@ -3,7 +3,8 @@
 Beside three exact patterns, a string that follows a sensitive word is a candidate. Its novelty is the
 number of bytes that zstandard needs for it beyond its surroundings, primed by a dictionary of code
 identifiers and of a bounded sample of the corpus; a string that costs nearly its own length could not be
-pieced together from known words, and is reported. A map without shuffle over whole texts.
+pieced together from known words, and is reported. Copies of a candidate are taken out of its surroundings, so
+that a repeated secret does not hide itself. A map without shuffle over whole texts.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ _HEX[48:58] = _HEX[97:103] = True
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization|auth[_-]?key|signature", re.IGNORECASE | re.ASCII)
 _SENSITIVE_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"auth", b"signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{12,}")
+LEAST_CHARS = 12
 REACH = 48
 AROUND = 256
 NOVEL_SHARE = 0.7
@@ -74,9 +76,20 @@ class Novelty:
         size = lambda s: len(self.packer.compress(s.encode("utf-8", "replace")))
         return size(before + string + after) - size(before + after)
 
+    def around(self, text: str, start: int, end: int, parts: list[str]) -> tuple[str, str]:
+        """The surroundings of a candidate without its own copies, also where their border cuts a copy."""
+        reach = AROUND + end - start
+        before, after = text[max(0, start - reach) : start], text[end : end + reach]
+        for part in parts:
+            before, after = before.replace(part, "\0" * len(part)), after.replace(part, "\0" * len(part))
+        return before[-AROUND:].replace("\0", ""), after[:AROUND].replace("\0", "")
+
     def spans(self, text: str) -> list[tuple[int, int]]:
-        """Incompressible strings of at least two kinds of characters within reach behind a sensitive word."""
-        out, done = [], 0
+        """Incompressible strings of at least two kinds of characters within reach behind a sensitive word.
+
+        A string that is novel at one of its places is reported at all of those within reach.
+        """
+        found, novel, done = [], set(), 0
         for word in SENSITIVE.finditer(text):
             for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH + 512)):
                 if m.start() - word.end() > REACH:
@@ -87,11 +100,16 @@ class Novelty:
                     continue
                 whole = CANDIDATE.match(text, m.start())
                 s = whole.group()
-                cost = self.cost(text[max(0, m.start() - AROUND) : m.start()], s, text[whole.end() : whole.end() + AROUND])
+                # the value of a setting is the same secret behind any name
+                parts = sorted({s, *(p for p in s.split("=") if len(p) >= LEAST_CHARS)}, key=lambda p: (-len(p), p))
+                value = next((p for p in parts if "=" not in p), s)
+                before, after = self.around(text, m.start(), whole.end(), parts)
+                cost = self.cost(before, s, after)
                 done = max(done, whole.end())
+                found.append((m.start(), whole.end(), value))
                 if cost >= NOVEL_BYTES and cost >= NOVEL_SHARE * len(s):
-                    out.append((m.start(), whole.end()))
-        return out
+                    novel.add(value)
+        return [(start, end) for start, end, value in found if value in novel]
 
 
 def _scan(primed: bytes):

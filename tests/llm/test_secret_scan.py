@@ -44,3 +44,17 @@ def test_dictionary_is_repeatable(spark):
     df = spark.createDataFrame([(i, f"some text {i} " * 30) for i in range(80)], "doc_id long, text string")
     assert secret_scan.fit_dictionary(df) == secret_scan.fit_dictionary(df)
     assert secret_scan.find_secrets(df.limit(0), secret_scan.fit_dictionary(df.limit(0))).count() == 0
+
+
+def test_repeated_secrets_do_not_hide_themselves(spark):
+    rng = random.Random(9)
+    blobs = ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(40)]
+    filler = "the quiet river runs under the old stone bridge and on to the sea " * 5
+    texts = [f"bearer {b}\nbearer {b}\n" for b in blobs]
+    texts += [f"auth_key_first={b}\nauth_key_other={b}\n" for b in blobs]
+    texts += [f"bearer {b} {filler[: 190 + i]} bearer {b}" for i, b in enumerate(blobs)]
+    got = scan(spark, texts)
+    for i, t in enumerate(texts):
+        b = blobs[i % 40]
+        ends = [m.end() for m in re.finditer(b, t)]
+        assert [(k, e) for k, _, e in got[i]] == [("novel", e) for e in ends], t
