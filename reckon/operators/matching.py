@@ -24,8 +24,6 @@ from reckon.plans.config import P2, P4, Pass, Rules
 
 TXN = ["id", "date", "amount", "vendor", "narration", "reference", "account_id", "channel", "ord"]
 PAIR = "run_id string, bank_ids array<string>, ledger_ids array<string>, pass_name string, amount_part double, date_part double, vendor_part double, reference_part double, score double, note string"
-#: A component with more conflicting rows than this on a side is refused rather than solved for hours.
-MAX_COMPONENT = 2000
 
 
 def side(txns: DataFrame, name: str, prefix: str) -> DataFrame:
@@ -189,31 +187,94 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if turned else pairs
 
 
+def transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> np.ndarray:
+    """Units sent from each row to each column at least total cost; all of the lesser side is used up."""
+    if supply.sum() > demand.sum():
+        return transport(cost.T, demand, supply).T
+    n, m = cost.shape
+    u, v = np.zeros(n), np.zeros(m)
+    flow, room = np.zeros((n, m), np.int64), demand.astype(np.int64)
+    for i in range(n):
+        left = int(supply[i])
+        while left:
+            far, seen, from_row = np.full(m, np.inf), np.zeros(m, bool), np.zeros(m, np.int64)
+            depth, from_col = np.full(n, np.inf), np.zeros(n, np.int64)
+            depth[i], fresh, d = 0.0, [i], 0.0
+            while True:
+                for r in fresh:
+                    step = d + cost[r] - u[r] - v
+                    better = ~seen & (step < far)
+                    far[better], from_row[better] = step[better], r
+                k = int(np.argmin(np.where(seen, np.inf, far)))
+                d, seen[k] = far[k], True
+                if room[k]:
+                    break
+                fresh = np.flatnonzero((flow[:, k] > 0) & np.isinf(depth)).tolist()
+                depth[fresh], from_col[fresh] = d, k
+            known = np.isfinite(depth)
+            u[known] += d - depth[known]
+            v[seen] -= d - far[seen]
+            path, j = [], k
+            while from_row[j] != i:
+                r = int(from_row[j])
+                path.append((r, j, int(from_col[r])))
+                j = int(from_col[r])
+            units = min([left, int(room[k]), *(int(flow[r, back]) for r, _, back in path)])
+            flow[i, j] += units
+            for r, to, back in path:
+                flow[r, to] += units
+                flow[r, back] -= units
+            room[k] -= units
+            left -= units
+    return flow
+
+
 def _solve(frame: pd.DataFrame) -> pd.DataFrame:
-    """The chosen edges of one component: most pairs first, then the highest total score."""
-    bank, ledger = sorted(frame["b_id"].unique()), sorted(frame["l_id"].unique())
-    if max(len(bank), len(ledger)) > MAX_COMPONENT:
-        raise ValueError(f"a component of {len(bank)} and {len(ledger)} rows is too wide; use tighter tolerances")
-    at = {(b, k): i for i, (b, k) in enumerate(zip(frame["b_id"], frame["l_id"]))}
-    cost = np.full((len(bank), len(ledger)), 1e6)
-    row, col = {b: i for i, b in enumerate(bank)}, {k: i for i, k in enumerate(ledger)}
-    for (b, k), s in zip(at, frame["score"]):
-        cost[row[b], col[k]] = -s
-    chosen = [at[bank[i], ledger[j]] for i, j in assign(cost) if cost[i, j] < 1e5]
-    return frame.iloc[sorted(chosen)][["run_id", "b_id", "l_id"]]
-
-
-def best_pairs(edges: DataFrame, exact: bool = False) -> DataFrame:
+    """The units that each edge of some components takes: most pairs first, then the highest total score."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(frame["b_id"], frame["l_id"]):
+        root[find((0, x))] = find((1, y))
+    frame = frame.reset_index(drop=True).assign(units=0)
+    for _, part in frame.groupby([str(find((0, x))) for x in frame["b_id"]]):
+        bank, ledger = sorted(part["b_id"].unique()), sorted(part["l_id"].unique())
+        row, col = {b: i for i, b in enumerate(bank)}, {k: i for i, k in enumerate(ledger)}
+        cost = np.full((len(bank), len(ledger)), 1e6)
+        rows, cols = part["b_id"].map(row).to_numpy(), part["l_id"].map(col).to_numpy()
+        cost[rows, cols] = -part["score"].to_numpy()
+        supply, demand = np.ones(len(bank), np.int64), np.ones(len(ledger), np.int64)
+        supply[rows], demand[cols] = part["b_n"], part["l_n"]
+        if supply.max() == demand.max() == 1:
+            flow = np.zeros(cost.shape, np.int64)
+            for i, j in assign(cost):
+                flow[i, j] = 1
+        else:
+            flow = transport(cost, supply, demand)
+        frame.loc[part.index, "units"] = flow[rows, cols]
+    return frame[frame["units"] > 0][["run_id", "b_id", "l_id", "units"]]
+
+
+def best_pairs(edges: DataFrame, members: DataFrame, exact: bool = False) -> DataFrame:
     """The edges of an optimal one-to-one assignment in each connected component of each run.
 
-    An edge whose ends have no other edge is taken at once. Among the rest, components are found by star
-    contraction and solved one by one; edges of an exact pass need none of that, as they can only conflict
-    within one amount and date of a run. Ties go to the order of ids, as far as the solver meets them.
+    Edges join the first rows of the classes that ``members`` lists (see ``classes``). An edge whose ends have
+    no other edge pairs as many rows as the lesser class has. Among the rest, components are found by star
+    contraction and solved one by one, classes with their counts; edges of an exact pass need no search, as
+    they can only conflict within one amount and date of a run. Then the rows of the classes are paired in the
+    order of ids. Ties go to the order of ids, as far as the solver meets them.
     """
-    edges = stash(edges, "edges")
+    sizes = members.where("nth = 1")
+    size = lambda s, c: sizes.where(F.col("side") == s).select("run_id", F.col("id").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"))
+    edges = stash(edges.join(size("bank", "b"), ["run_id", "b_id"]).join(size("ledger", "l"), ["run_id", "l_id"]), "edges")
     lone = (F.count(F.lit(1)).over(W.partitionBy("run_id", "b_id")) == 1) & (F.count(F.lit(1)).over(W.partitionBy("run_id", "l_id")) == 1)
-    flagged = stash(edges.select("run_id", "b_id", "l_id", "score", "b_amount", "b_date").withColumn("lone", lone), "edge-flags")
-    single = flagged.where("lone").select("run_id", "b_id", "l_id")
+    flagged = stash(edges.select("run_id", "b_id", "l_id", "score", "b_amount", "b_date", "b_n", "l_n").withColumn("lone", lone), "edge-flags")
+    single = flagged.where("lone").select("run_id", "b_id", "l_id", F.least("b_n", "l_n").alias("units"))
     rest = flagged.where("not lone")
     if exact:
         grouped = rest.groupBy("run_id", "b_amount", "b_date")
@@ -221,8 +282,34 @@ def best_pairs(edges: DataFrame, exact: bool = False) -> DataFrame:
         node = lambda s, c: F.concat_ws("\u0001", F.lit(s), "run_id", c)
         rest = rest.withColumn("a", node("b", "b_id")).withColumn("b", node("l", "l_id"))
         grouped = rest.join(connected_components(rest).withColumnRenamed("node", "a"), "a").groupBy("component")
-    solved = grouped.applyInPandas(_solve, "run_id string, b_id string, l_id string")
-    return edges.join(single.unionByName(solved), ["run_id", "b_id", "l_id"])
+    solved = stash(single.unionByName(grouped.applyInPandas(_solve, "run_id string, b_id string, l_id string, units long")), "solved")
+    before = lambda c, other: F.sum("units").over(W.partitionBy("run_id", c).orderBy(other)) - F.col("units")
+    spread = solved.withColumns({"b_off": before("b_id", "l_id"), "l_off": before("l_id", "b_id")})
+    spread = spread.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "units")))
+    spread = spread.withColumns({"b_nth": F.col("b_off") + F.col("k"), "l_nth": F.col("l_off") + F.col("k")}).drop("units", "b_off", "l_off", "k")
+    row = lambda s, c: members.where(F.col("side") == s).select("run_id", F.col("first_id").alias(f"{c}_id"), F.col("nth").alias(f"{c}_nth"), F.col("id").alias(f"{c}_member"))
+    paired = spread.join(row("bank", "b"), ["run_id", "b_id", "b_nth"]).join(row("ledger", "l"), ["run_id", "l_id", "l_nth"])
+    out = edges.join(paired, ["run_id", "b_id", "l_id"]).withColumns({"b_id": F.col("b_member"), "l_id": F.col("l_member")})
+    return out.drop("b_n", "l_n", "b_nth", "l_nth", "b_member", "l_member")
+
+
+def classes(txns: DataFrame, width: Decimal) -> DataFrame:
+    """(run_id, side, id, first_id, nth, n): rows that agree in all that a score reads, numbered by id.
+
+    A ledger's reference is read as far as it says something. A bank row's texts are read only where a ledger
+    row of its run within ``width`` of its amount has such a reference.
+    """
+    ref = F.coalesce(F.col("reference"), F.lit(""))
+    silent = (ref == "") | F.upper(ref).rlike(INTERNAL_REFERENCES)
+    cell = F.floor(F.col("amount").cast("double") / max(float(width), 1.0))
+    speaks = txns.where("side = 'ledger'").where(~silent & (F.length(normal_reference(ref)) >= 4))
+    heard = speaks.select("run_id", F.explode(F.array(cell - 1, cell, cell + 1)).alias("__cell")).distinct().withColumn("__heard", F.lit(True))
+    rows = txns.withColumn("__cell", cell).join(heard, ["run_id", "__cell"], "left")
+    text = F.when(F.col("side") == "ledger", F.when(~silent, F.array(normal_reference(ref)))).when(F.col("__heard"), F.array("narration", "reference"))
+    keyed = rows.select("run_id", "side", "id", "date", "amount", "vendor", "account_id", text.alias("__text"))
+    alike = W.partitionBy("run_id", "side", "date", "amount", "vendor", "account_id", "__text")
+    nth, n = F.row_number().over(alike.orderBy("id")).cast("long"), F.count(F.lit(1)).over(alike)
+    return keyed.select("run_id", "side", "id", F.min("id").over(alike).alias("first_id"), nth.alias("nth"), n.alias("n"))
 
 
 def pairs_of(chosen: DataFrame, name: str) -> DataFrame:
@@ -235,7 +322,9 @@ def pairs_of(chosen: DataFrame, name: str) -> DataFrame:
 
 def one_to_one(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_account: DataFrame | None = None) -> DataFrame:
     """Pairs that a pass of kind exact, date, fuzzy or relaxed makes among unmatched rows."""
-    return pairs_of(best_pairs(candidate_edges(txns, p, rules, same_account), p.kind == "exact"), p.name)
+    members = stash(classes(txns, max([p.amount, *(t.amount for t in rules.tolerances if t.amount is not None)])), "classes")
+    firsts = txns.join(members.where("nth = 1").select("run_id", "side", "id"), ["run_id", "side", "id"], "left_semi")
+    return pairs_of(best_pairs(candidate_edges(firsts, p, rules, same_account), members, p.kind == "exact"), p.name)
 
 
 def without_matched(txns: DataFrame, pairs: DataFrame) -> DataFrame:
