@@ -3,7 +3,9 @@
 A page becomes a tree without scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments. Each paragraph earns points for its length and commas and passes them to its
 ancestors, less with each level; containers are discounted by the share of their text that stands in
-links. The best container is kept, or the article around it, with those siblings that score well too.
+links. The container of the highest score is kept, or an ancestor that holds half as many points again,
+with those siblings that score well too. Every step visits each node a bounded number of times, so long or
+deeply nested pages take linear time.
 """
 
 from __future__ import annotations
@@ -23,103 +25,197 @@ INLINE = frozenset(
 )
 #: Elements that never hold main text.
 DROPPED = frozenset(
-    "head title script style noscript template nav footer aside form button select option textarea input fieldset iframe object embed svg canvas map audio video dialog menu".split()
+    "head title script style noscript template nav header footer aside button select option textarea input fieldset iframe object embed svg canvas map audio video dialog menu".split()
 )
-#: Words of class, id or role names that mark a part as not belonging to the article.
+IN_HEAD = frozenset("head title meta link script style base noscript template".split())
+#: Words that, as a part of a class or id name, mark what does not belong to the article.
 UNLIKELY = frozenset(
-    """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promotions banner banners
-    sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead
-    footer foot comment comments reply replies respond discussion disqus cookie cookies consent gdpr notice notices alert
-    alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended
-    recommendations toolbar widget widgets search form complementary contentinfo skip""".split()
+    """ad ads advert adverts advertisement advertising sponsor sponsored sidebar sidebars menu menus nav navbar navigation
+    breadcrumb breadcrumbs pagination pager masthead footer comment comments replies respond disqus cookie cookies gdpr popup
+    modal newsletter""".split()
 )
+#: Words that mark it as a whole name; as a part of a longer name only where there are no paragraphs to speak of.
+DOUBTFUL = frozenset(
+    """promo promotion promotions banner banners aside rail header foot reply discussion consent notice notices alert alerts
+    overlay subscribe subscription signup login share sharing social related recommended recommendations toolbar widget widgets
+    search form complementary contentinfo skip dialog""".split()
+)
+#: Names that drop even an article.
+FOREIGN = frozenset("ad ads comment comments reply replies sponsored".split())
+RICH_CHARS = 140
 ARTICLE = frozenset(("article", "main"))
-_CLOSED_BY_BLOCK = frozenset(("p",))
-_SAME = {"li": ("li",), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
-_SCOPE = frozenset(("ul", "ol", "table", "select", "dl", "body"))
+_ITEMS = {"li": ("li",), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+_ITEM_SCOPE = frozenset(("ul", "ol", "table", "select", "dl", "body"))
+_P_SCOPE = _ITEM_SCOPE | {"td", "th", "li", "div", "section", "article", "main", "blockquote", "dd"}
 _NAME = re.compile(r"[a-z]+")
-SCORED = frozenset(("p", "pre", "td", "blockquote", "li", "dd", "div", "section"))
+#: Elements that pass the points of their own text to their parent, and those that keep them.
+PARAGRAPHS = frozenset(("p", "pre", "td", "th", "blockquote", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption"))
+CONTAINERS = frozenset(("div", "section", "article", "main", "body"))
 BONUS = {"article": 25.0, "main": 15.0, "div": 2.0, "section": 2.0, "blockquote": 1.0, "body": -5.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "td": 1.0}
+SHARES = (1, 2, 6, 9, 12)
+WIDER = 1.5
+LABEL_CHARS = 25
 
 
 class Node:
-    """An element: its tag, attributes, and children that are nodes or text."""
+    """An element: its tag, attributes, and children that are nodes or text; sums over its subtree; its score."""
 
-    __slots__ = ("attrs", "children", "parent", "score", "tag")
+    __slots__ = ("attrs", "best_p", "children", "depth", "holds_article", "linked", "parent", "points", "score", "size", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self.score = tag, attrs, parent, [], None
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.size = self.linked = self.best_p = 0
+        self.points, self.score, self.holds_article = 0.0, None, False
+        self.depth = 0 if parent is None else parent.depth + 1
+
+    @property
+    def density(self) -> float:
+        """Share of the text that stands in links."""
+        return self.linked / max(1, self.size)
 
 
 class _Builder(HTMLParser):
+    """Builds the tree; end tags that HTML lets a page leave out are supplied."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("body", {}, None)
+        self.open: dict[str, int] = {}
+        # open paragraphs of each scope that ends the search for one, and open items of each list or table
+        self.paragraphs, self.items = [0], [{}]
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<![", i):  # to a browser this is a comment up to the next bracket
+            end = self.rawdata.find(">", i + 3)
+            return end + 1 if end >= 0 else -1
+        return super().parse_html_declaration(i)
+
+    def _push(self, node: Node) -> None:
+        self.now.children.append(node)
+        tag = node.tag
+        if tag in VOID:
+            return
+        self.now = node
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag == "p":
+            self.paragraphs[-1] += 1
+        if tag in _ITEMS:
+            self.items[-1][tag] = self.items[-1].get(tag, 0) + 1
+        if tag in _P_SCOPE:
+            self.paragraphs.append(0)
+        if tag in _ITEM_SCOPE:
+            self.items.append({})
+
+    def _pop(self) -> None:
+        tag = self.now.tag
+        self.open[tag] -= 1
+        if tag in _ITEM_SCOPE:
+            self.items.pop()
+        if tag in _P_SCOPE:
+            self.paragraphs.pop()
+        if tag in _ITEMS:
+            self.items[-1][tag] -= 1
+        if tag == "p":
+            self.paragraphs[-1] -= 1
+        self.now = self.now.parent
+
+    def _close(self, tags) -> None:
+        """Close the innermost open element among ``tags``, which is known to be open."""
+        while self.now.tag not in tags:
+            self._pop()
+        self._pop()
 
     def handle_starttag(self, tag, attrs):
+        if self.open.get("head") and (tag == "body" or tag not in IN_HEAD):
+            self._close(("head",))
         if tag in ("html", "body"):
             return
-        if tag not in INLINE and tag != "br":
-            self._leave(_CLOSED_BY_BLOCK, _SCOPE | {"td", "th", "li", "div", "section", "article", "blockquote", "dd"})
-        if tag in _SAME:
-            self._leave(_SAME[tag], _SCOPE)
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
-        self.now.children.append(node)
-        if tag not in VOID:
-            self.now = node
+        if tag in ARTICLE:
+            for left_open in ("nav", "header"):  # neither holds an article
+                if self.open.get(left_open):
+                    self._close((left_open,))
+        if tag not in INLINE and tag != "br" and self.paragraphs[-1]:
+            self._close(("p",))
+        if tag in _ITEMS:
+            for same in _ITEMS[tag]:
+                if self.items[-1].get(same):
+                    self._close((same,))
+        self._push(Node(tag, {k: v or "" for k, v in attrs}, self.now))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.now.tag == tag and tag in ("svg", "path", "iframe", "script"):
-            self.now = self.now.parent
+            self._pop()
 
     def handle_endtag(self, tag):
-        node = self.now
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.now = node.parent
+        if self.open.get(tag):
+            self._close((tag,))
 
     def handle_data(self, data):
+        if self.open.get("head") and self.now.tag == "head" and data.strip():
+            self._close(("head",))
         self.now.children.append(data)
 
-    def _leave(self, tags, scope):
-        node = self.now
-        while node is not None and node.tag not in scope:
-            if node.tag in tags:
-                self.now = node.parent
-                return
-            node = node.parent
 
+def _nodes(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
 
-def _dropped(node: Node, in_article: bool) -> bool:
-    if node.tag in DROPPED or (node.tag == "header" and not in_article) or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
+
+def _never(node: Node) -> bool:
+    """Whether an element goes for its tag or because it is hidden."""
+    if node.tag in DROPPED or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
         return True
     style = node.attrs.get("style", "").replace(" ", "").lower()
-    if "display:none" in style or "visibility:hidden" in style:
-        return True
-    if node.tag in ARTICLE:
-        named = _NAME.findall((node.attrs.get("class", "") + " " + node.attrs.get("id", "")).lower())
-        return any(w in ("comment", "comments", "reply", "replies", "ad", "ads", "sponsored", "related") for w in named)
-    names = " ".join(node.attrs.get(k, "") for k in ("class", "id", "role")).lower()
-    return bool(names.strip()) and not UNLIKELY.isdisjoint(_NAME.findall(names))
+    return "display:none" in style or "visibility:hidden" in style
 
 
-def _prune(root: Node) -> None:
-    stack = [(root, False)]
-    while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in ARTICLE
-        node.children = [c for c in node.children if isinstance(c, str) or not _dropped(c, inside)]
-        stack += [(c, inside) for c in node.children if not isinstance(c, str)]
-
-
-def _nodes(root: Node) -> Iterator[Node]:
+def _foreign(node: Node) -> bool:
+    """Whether an element goes for its names; ``_measure`` has summed up what it holds."""
+    names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split()
+    if node.tag in ARTICLE:
+        return not FOREIGN.isdisjoint(names)
+    if node.holds_article:
+        return False  # a wrapper of the article, whatever it is called
+    role = node.attrs.get("role", "").lower().split()
+    if not UNLIKELY.isdisjoint(role) or not DOUBTFUL.isdisjoint(role) or not DOUBTFUL.isdisjoint(names):
+        return True
+    parts = {w for name in names for w in _NAME.findall(name)}
+    if not UNLIKELY.isdisjoint(parts):
+        return True
+    poor = node.best_p < RICH_CHARS or node.density > 0.3
+    return poor and (node.tag == "form" or not DOUBTFUL.isdisjoint(parts)) or (node.tag == "form" and node.best_p < 3 * RICH_CHARS)
+
+
+def _measure(root: Node) -> None:
+    """Sum up text, linked text and paragraphs of every subtree."""
+    order = list(_nodes(root))
+    for node in reversed(order):
+        node.size = node.linked = node.best_p = 0
+        node.holds_article = node.tag in ARTICLE
+        for c in node.children:
+            if isinstance(c, str):
+                node.size += len(" ".join(c.split()))
+            else:
+                node.size += c.size
+                node.linked += c.linked
+                node.best_p = max(node.best_p, c.best_p)
+                node.holds_article |= c.holds_article
+        if node.tag == "a":
+            node.linked = node.size
+        elif node.tag == "p":
+            node.best_p = max(node.best_p, node.size - node.linked)
+
+
+def _without(root: Node, drop) -> None:
     stack = [root]
     while stack:
         node = stack.pop()
-        yield node
-        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+        node.children = [c for c in node.children if isinstance(c, str) or not drop(c)]
+        stack += [c for c in node.children if not isinstance(c, str)]
 
 
 def _text(node: Node) -> str:
@@ -139,11 +235,6 @@ def _text(node: Node) -> str:
     return " ".join("".join(parts).split())
 
 
-def _link_density(node: Node) -> float:
-    linked = sum(len(_text(n)) for n in _nodes(node) if n.tag == "a")
-    return linked / max(1, len(_text(node)))
-
-
 def _own_text(node: Node) -> str:
     """Text of an element without that of block elements below it."""
     parts, stack = [], list(reversed(node.children))
@@ -158,6 +249,58 @@ def _own_text(node: Node) -> str:
     return " ".join("".join(parts).split())
 
 
+def paragraph_points(text: str) -> float:
+    """What a paragraph is worth: one, its commas, and its length up to 300 characters."""
+    return 1 + text.count(",") + min(3.0, len(text) / 100)
+
+
+def _score(root: Node, least_chars: int) -> list[Node]:
+    """Give points to the containers of all paragraphs of a length; the scored ones in page order."""
+    order = list(_nodes(root))
+    for node in order:
+        keeps = node.tag in CONTAINERS
+        if not keeps and node.tag not in PARAGRAPHS:
+            continue
+        text = _own_text(node)
+        if len(text) < least_chars:
+            continue
+        points = paragraph_points(text)
+        node.points += points
+        up = node if keeps else node.parent or node
+        for share in SHARES:
+            if up is None:
+                break
+            if up.score is None:
+                up.score = BONUS.get(up.tag, 0.0)
+            up.score += points / share
+            up = up.parent
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.points += node.points
+    scored = [n for n in order if n.score is not None]
+    for node in scored:
+        node.score *= 1 - node.density
+    return scored
+
+
+def best_container(root: Node) -> Node | None:
+    """The element of the highest score, the inner one of equals, or an ancestor that holds many more points.
+
+    What stands beside the best element is weighed later, so ancestors are measured against its parent. An
+    article or main element is not left for a wider one. Labels count only where there is nothing longer.
+    """
+    scored = _score(root, LABEL_CHARS) or _score(root, 1)
+    if not scored:
+        return None
+    best = max(scored, key=lambda n: (n.score, n.depth))  # the first of equals
+    held, up = best if best.parent is None else best.parent, best
+    while best.tag not in ARTICLE and up.parent is not None:
+        up = up.parent
+        if up.tag in ARTICLE or up.attrs.get("itemprop") == "articleBody" or up.points * (1 - up.density) >= WIDER * held.points * (1 - held.density):
+            best = held = up
+    return best
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page: its blocks in page order, joined by one space; empty if there is none."""
     if not html:
@@ -166,35 +309,13 @@ def main_text(html: str | None) -> str:
     builder.feed(html)
     builder.close()
     root = builder.root
-    _prune(root)
-    scored: list[Node] = []
-    for node in _nodes(root):
-        if node.tag not in SCORED:
-            continue
-        own = _own_text(node)
-        if len(own) < 25:
-            continue
-        points = 1 + own.count(",") + min(3.0, len(own) / 100)
-        level, up = 0, node.parent or node
-        while up is not None and level < 5:
-            if up.score is None:
-                up.score = BONUS.get(up.tag, 0.0)
-                scored.append(up)
-            up.score += points / (1, 2, 6, 9, 12)[level]
-            level, up = level + 1, up.parent
-    if not scored:
-        body = next((n for n in _nodes(root) if n.tag in ARTICLE), root)
-        return _text(body)
-    for node in scored:
-        node.score *= 1 - _link_density(node)
-    best = max(scored, key=lambda n: n.score)  # the first of equals, in the order met
-    node, around = best, None
-    while node is not None:
-        if node.tag in ARTICLE or node.attrs.get("itemprop") == "articleBody":
-            around = node
-        node = node.parent
-    if around is not None:
-        best = around
+    _without(root, _never)
+    _measure(root)
+    _without(root, _foreign)
+    _measure(root)
+    best = best_container(root)
+    if best is None:
+        return ""
     if best.parent is None:
         return _text(best)
     least = max(10.0, 0.2 * (best.score or 0.0))
@@ -202,16 +323,19 @@ def main_text(html: str | None) -> str:
     for x in best.parent.children:
         if x is best:
             kept.append(_text(x))
-        elif not isinstance(x, str) and around is None:
+        elif isinstance(x, str):
+            continue
+        elif best.tag in ARTICLE:
+            if x.tag in ARTICLE and (x.score or 0.0) >= least:
+                kept.append(_text(x))
+        else:
             same_class = bool(best.attrs.get("class")) and x.attrs.get("class") == best.attrs["class"]
             good = x.score is not None and x.score + (0.2 * best.score if same_class else 0) >= least
             if not good and x.tag == "p":
-                text, density = _text(x), _link_density(x)
-                good = (len(text) > 80 and density < 0.25) or (0 < len(text) <= 80 and density == 0 and text.endswith((".", "!", "?")))
+                text = _text(x)
+                good = (len(text) > 80 and x.density < 0.25) or (0 < len(text) <= 80 and x.density == 0 and text.endswith((".", "!", "?")))
             if good or x.tag in ("h1", "h2"):
                 kept.append(_text(x))
-        elif not isinstance(x, str) and x.tag in ARTICLE and x.score is not None and x.score >= max(10.0, 0.2 * best.score):
-            kept.append(_text(x))
     return " ".join(t for t in kept if t)
 
 

@@ -1,3 +1,9 @@
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from reckon.llm.html_extract import extract, main_text
 
 PROSE = "Long sentences, with commas, make a paragraph that earns its points because it goes on, and on, for a while."
@@ -44,3 +50,115 @@ def test_generated_pages_keep_exactly_the_article(spark):
         blocks = re.sub(r"<(/?)(p|h1|br|ul|li|div)[^>]*>", " ", article)
         want = " ".join(entities.unescape(re.sub(r"<[^>]*>", "", blocks)).split())
         assert main_text(r.html) == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<![foo bar]>", "<![CDATA[x]]>", "<!", "<!-", "<!-->", "<![", "</", "<p", "<p>", "</p>", "<li>", "<td>", "<table>", "</table>", "<nav>", "<head>", "<a href='", "&", "&#", "&#xFFFFFF;", "&lt", "<?", "?>", "<script>", "</script>", "word, ", "\x00", "<DIV CLASS=ad>", "</div>", "é", "<!doctype", ">", '"']) | st.text(max_size=5), max_size=25))
+def test_no_page_crashes(parts):
+    assert isinstance(main_text("".join(parts)), str)
+
+
+def test_tags_left_out_and_names():
+    assert main_text("<body><p>..</p><![foo bar]>") == ".."
+    assert main_text(f"<html><head><title>x</title><p>{PROSE}") == PROSE
+    assert main_text(f"<head><title>x</title>{PROSE}") == PROSE
+    assert main_text(f"<nav><ul><li><a href=/>x</a></ul><article><p>{PROSE}</article>") == PROSE
+    assert main_text(f'<div class="long-form"><p>{PROSE} {PROSE}</p></div>') == f"{PROSE} {PROSE}"
+    assert main_text(f'<article class="related-post"><p>{PROSE}</p></article>') == PROSE
+    assert main_text(f'<div class="has-sidebar"><article><header>By me</header><p>{PROSE}</p></article></div>') == PROSE
+    for name in ("share-buttons", "social", "search form", "site-footer", "comment-list"):
+        assert main_text(f'<div><p>{PROSE}</p><p>{PROSE}</p></div><div class="{name}"><p>Some words, of it.</p></div>') == f"{PROSE} {PROSE}"
+    assert main_text(f"<form id=page><div><p>{PROSE} {PROSE} {PROSE} {PROSE} {PROSE}</p></div></form>").count(PROSE) == 5
+
+
+@pytest.mark.parametrize("make", [lambda n: "<div>" * n + PROSE, lambda n: "<div><a>x</a>" * n + f"<p>{PROSE}", lambda n: "<b>" * n + f"<p>{PROSE}" * n, lambda n: "<li><i>" * n + "<hr>" * n])
+def test_time_is_linear(make):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        main_text(make(n))
+        return time.process_time() - began
+
+    took(500)
+    assert took(12000) < 40 * took(1200) + 0.5
+
+
+def plain_best(tree):
+    """Scores of the containers of a tree of (tag, children), by the rules, one plain recursion for each question."""
+
+    def text(t):
+        return t if isinstance(t, str) else " ".join(filter(None, map(text, t[1])))
+
+    def linked(t):
+        return 0 if isinstance(t, str) else len(text(t)) if t[0] == "a" else sum(map(linked, t[1]))
+
+    def paragraphs(t, path):
+        if isinstance(t, str):
+            return
+        if t[0] == "p":
+            yield text(t), path
+        else:
+            for c in t[1]:
+                yield from paragraphs(c, [t, *path])
+
+    scores = {}
+    for words, path in paragraphs(tree, []):
+        for share, box in zip((1, 2, 6, 9, 12), path):
+            if len(words) >= 25:
+                scores.setdefault(id(box), [box, {"div": 2, "body": -5}[box[0]]])[1] += (1 + words.count(",") + min(3, len(words) / 100)) / share
+    return max(((s * (1 - linked(b) / max(1, size(b))), b) for b, s in scores.values()), key=lambda x: x[0])[1]
+
+
+def size(t):
+    return len(t) if isinstance(t, str) else sum(map(size, t[1]))
+
+
+def markup(t):
+    return t if isinstance(t, str) else f"<{t[0]}>" + "".join(map(markup, t[1])) + f"</{t[0]}>"
+
+
+def test_best_container_is_the_plain_scorers():
+    from reckon.llm import html_extract as H
+
+    rng = random.Random(5)
+    decided = 0
+    for case in range(300):
+        def box(level):
+            parts = []
+            for _ in range(rng.randint(1, 4)):
+                kind = rng.random()
+                if kind < 0.4 and level < 4:
+                    parts.append(box(level + 1))
+                elif kind < 0.75:
+                    parts.append(("p", [rng.choice(["word, " * rng.randint(1, 30), "plain words of prose " * rng.randint(1, 12)]).strip()]))
+                else:
+                    parts.append(("p", [("a", ["a linked teaser of a page " * rng.randint(1, 6)])]))
+            return ("div", parts)
+
+        tree = ("body", [box(0) for _ in range(rng.randint(1, 3))])
+        builder = H._Builder()
+        builder.feed(markup(tree))
+        builder.close()
+        H._measure(builder.root)
+        scored = H._score(builder.root, H.LABEL_CHARS)
+        if not scored:
+            continue
+        best = max(scored, key=lambda n: (n.score, n.depth))
+        want = plain_best(tree)
+        twins = [n for n in scored if abs(n.score - best.score) < 1e-9]
+        if len(twins) == 1:
+            decided += 1
+            assert H._text(best) == " ".join(" ".join(flat(want)).split())
+    assert decided > 200
+
+
+def flat(t):
+    return [t] if isinstance(t, str) else [w for c in t[1] for w in flat(c)]
+
+
+def test_link_density_decides():
+    story, teasers = f"<p>{PROSE}</p>" * 3, f"<p><a href=/>{PROSE}</a></p>" * 6
+    assert main_text(f"<div><div>{teasers}</div><div>{story}</div></div>") == " ".join([PROSE] * 3)
+    rows = "".join(f"<div><div><p>{PROSE} {i}</p></div></div>" for i in range(4))
+    assert main_text(f"<div id=menu><a href=/>x</a></div><div>{rows}</div>") == " ".join(f"{PROSE} {i}" for i in range(4))
