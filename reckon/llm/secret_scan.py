@@ -2,14 +2,15 @@
 
 Beside three exact patterns, a string that follows a sensitive word is a candidate. Its novelty is the
 number of bytes that zstandard needs for it beyond its surroundings, primed by a dictionary of code
-identifiers and of a bounded sample of the corpus; a string that costs nearly its own length could not be
-pieced together from known words, and is reported. Copies of a candidate are taken out of its surroundings, so
-that a repeated secret does not hide itself. A map without shuffle over whole texts.
+identifiers and of the names and words that many texts share. A string that costs nearly its own length could
+not be pieced together from what is known, and is reported, also inside a fixed pattern. Copies of a candidate are taken out of its surroundings, so that a repeated secret does not hide
+itself. A map over whole texts; only the count of words for the dictionary shuffles, one row a word.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reckon.llm.common import find_words, map_texts
+from reckon.llm.common import SLICE_BYTES, cuts, find_words, hash_words, map_texts, utf8
 
 #: Fixed kinds, in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "novel")
@@ -31,15 +32,19 @@ _HEX[48:58] = _HEX[97:103] = True
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization|auth[_-]?key|signature", re.IGNORECASE | re.ASCII)
 _SENSITIVE_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"auth", b"signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{12,}")
+_KINDS = re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]")
 LEAST_CHARS = 12
 REACH = 48
 AROUND = 256
-NOVEL_SHARE = 0.7
-NOVEL_BYTES = 10
-LEVEL = 3
-DICTIONARY_BYTES = 16 << 10
-SAMPLE_TEXTS = 400
-SAMPLE_CHARS = 2000
+#: A novel string costs at least this share of its length. A block has a head of three bytes.
+NOVEL_SHARE = 0.9
+BLOCK, BLOCK_HEAD = 24, 3
+LEVEL = 19
+#: A candidate has so many characters each of two of the kinds small letters, capitals and digits.
+KIND_CHARS = 3
+#: The dictionary's size, and in how many 64ths of the texts (by hash) a word must occur to stand in it.
+DICTIONARY_BYTES = 48 << 10
+LEAST_SPREAD = 5
 
 #: Identifiers that code and configuration repeat.
 IDENTIFIERS = """
@@ -51,63 +56,82 @@ import export return function class public private static const let var def self
 getElementById addEventListener createElement querySelector prototype constructor toString hasOwnProperty
 request response session cookie header headers params query body payload timeout retries callback promise async await
 AWS_ACCESS_KEY_ID AWS_SECRET_ACCESS_KEY AWS_REGION GITHUB_TOKEN SLACK_TOKEN DATABASE_URL SECRET_KEY_BASE
------BEGIN PRIVATE KEY----- -----END PRIVATE KEY----- ssh-rsa ssh-ed25519 sha256 md5 base64 utf-8
+2019- 2020- 2021- 2022- 2023- 2024- 2025- 2026- T00:00:00Z 0123456789 1234567890 abcdefghijklmnopqrstuvwxyz qwertyuiop asdfghjkl
+    -----BEGIN PRIVATE KEY----- -----END PRIVATE KEY----- ssh-rsa ssh-ed25519 sha256 md5 base64 utf-8
 """
 
 
-def dictionary(samples: list[str]) -> bytes:
-    """A trained dictionary of the identifiers and of sample texts; the bare identifiers if too few are given."""
-    known = IDENTIFIERS.split()
-    lines = [" = ".join(known[i : i + 4]).encode() for i in range(len(known))]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, lines + [s.encode("utf-8", "replace") for s in samples], k=64, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return IDENTIFIERS.encode()
+def dictionary(words: list[str]) -> bytes:
+    """Raw content to prime with: common words, the most frequent last, then the identifiers, within the size."""
+    tail = IDENTIFIERS.encode()
+    out: list[bytes] = []
+    room = DICTIONARY_BYTES - len(tail)
+    for w in words:
+        piece = w.encode() + b" "
+        room -= len(piece)
+        if room < 0:
+            break
+        out.append(piece)
+    return b"".join(reversed(out)) + tail
+
+
+_EDGE = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z0-9]+")
 
 
 class Novelty:
     """Marginal compressed size under one dictionary."""
 
     def __init__(self, primed: bytes):
-        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(primed), write_content_size=False, write_dict_id=False)
+        known = zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=LEVEL)
+        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
 
-    def cost(self, before: str, string: str, after: str) -> int:
-        """Bytes that ``string`` adds to its compressed surroundings."""
-        size = lambda s: len(self.packer.compress(s.encode("utf-8", "replace")))
-        return size(before + string + after) - size(before + after)
+    def cost(self, around: str, string: str) -> int:
+        """Bytes of ``string`` behind its surroundings; what stands there or in the dictionary is cheap to copy.
 
-    def around(self, text: str, start: int, end: int, parts: list[str]) -> tuple[str, str]:
+        It is sent in short blocks: a longer one would be coded by the frequency of its letters, and a small
+        alphabet would look like knowledge.
+        """
+        stream = self.packer.compressobj()
+        stream.compress(around.encode("utf-8", "replace"))
+        stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+        size = 0
+        for at in range(0, len(string), BLOCK):
+            size += len(stream.compress(string[at : at + BLOCK].encode())) + len(stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)) - BLOCK_HEAD
+        return size
+
+    def is_novel(self, around: str, string: str) -> bool:
+        """Neither the string nor its words in small letters can be pieced together from what is known."""
+        words = " ".join(_EDGE.sub(" ", string).lower().split())
+        least = NOVEL_SHARE * len(string)
+        return self.cost(around, string) >= least and self.cost(around.lower(), words) >= least
+
+    def around(self, text: str, start: int, end: int, parts: list[str]) -> str:
         """The surroundings of a candidate without its own copies, also where their border cuts a copy."""
         reach = AROUND + end - start
         before, after = text[max(0, start - reach) : start], text[end : end + reach]
         for part in parts:
             before, after = before.replace(part, "\0" * len(part)), after.replace(part, "\0" * len(part))
-        return before[-AROUND:].replace("\0", ""), after[:AROUND].replace("\0", "")
+        return (before[-AROUND:] + after[:AROUND]).replace("\0", "")
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        """Incompressible strings of at least two kinds of characters within reach behind a sensitive word.
+        """Incompressible strings of two kinds of characters within reach behind a sensitive word.
 
         A string that is novel at one of its places is reported at all of those within reach.
         """
         found, novel, done = [], set(), 0
         for word in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH + 512)):
-                if m.start() - word.end() > REACH:
-                    break
-                s = m.group()
-                kinds = any("a" <= c <= "z" for c in s) + any("A" <= c <= "Z" for c in s) + any("0" <= c <= "9" for c in s)
-                if kinds < 2:
-                    continue
+            for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH + LEAST_CHARS)):
                 whole = CANDIDATE.match(text, m.start())
                 s = whole.group()
+                done = max(done, whole.end())
+                if sum(len(kind.findall(s)) >= KIND_CHARS for kind in _KINDS) < 2:
+                    continue
                 # the value of a setting is the same secret behind any name
                 parts = sorted({s, *(p for p in s.split("=") if len(p) >= LEAST_CHARS)}, key=lambda p: (-len(p), p))
                 value = next((p for p in parts if "=" not in p), s)
-                before, after = self.around(text, m.start(), whole.end(), parts)
-                cost = self.cost(before, s, after)
-                done = max(done, whole.end())
                 found.append((m.start(), whole.end(), value))
-                if cost >= NOVEL_BYTES and cost >= NOVEL_SHARE * len(s):
+                if value not in novel and self.is_novel(self.around(text, m.start(), whole.end(), parts), value):
                     novel.add(value)
         return [(start, end) for start, end, value in found if value in novel]
 
@@ -143,8 +167,7 @@ def _scan(primed: bytes):
                 lead = np.concatenate([[0], np.cumsum((data[a:b] & 0xC0) != 0x80)])
                 mine += [(int(lead[s]), 2, int(lead[e])) for s, e in hexes[i]]
             if context:
-                base = list(mine)
-                mine += [(s, 3, e) for s, e in novelty.spans(text) if not any(s < y and x < e for x, _, y in base)]
+                mine += [(s, 3, e) for s, e in novelty.spans(text)]
             mine.sort()
         rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in mine] for mine in found]
         return [pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]
@@ -155,17 +178,57 @@ def _scan(primed: bytes):
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def fit_dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = SAMPLE_TEXTS) -> bytes:
-    """Prime on the identifiers and on the beginnings of at most ``sample_texts`` texts, those of least hashed id."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("piece"))
-    return dictionary([r.piece for r in rows.orderBy("h", "piece").limit(sample_texts).collect()])
+#: Bytes of the words and names of a dictionary. Next to a digit there is no word: a secret that is repeated in many
+#: texts must not prime its own scan.
+_LETTERS = np.zeros(256, bool)
+_LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = _LETTERS[[45, 95]] = True
+_DIGITS = np.zeros(256, bool)
+_DIGITS[48:58] = True
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hash of the text, text) to (word, spread, n): a bit for each 64th of the texts that holds it, and texts."""
+    for batch in batches:
+        for lo, hi in cuts(batch.column(1), SLICE_BYTES):
+            part = batch.slice(lo, hi - lo)
+            data, offsets = utf8(part.column(1))
+            starts, ends, first = find_words(data, offsets, _LETTERS)
+            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+            beside = np.concatenate([data, np.zeros(1, np.uint8)])
+            after, before = (ends < offsets[doc + 1]) & _DIGITS[beside[ends]], (starts > offsets[doc]) & _DIGITS[beside[starts - 1]]
+            fit = (ends - starts >= 3) & (ends - starts <= 32) & ~after & ~before
+            starts, ends, doc = starts[fit], ends[fit], doc[fit]
+            h = hash_words(data, starts, ends)
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
+            h, doc, at = h[new], doc[new], order[new]
+            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            bit = np.uint64(1) << (part.column(0).to_numpy().view(np.uint64)[doc] & np.uint64(63))
+            spread = np.bitwise_or.reduceat(bit, head) if len(h) else bit
+            words = [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").lower() for i in at[head]]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(spread.view(np.int64)), pa.array(np.diff(np.append(head, len(h))))], names=["word", "spread", "n"])
+
+
+def fit_dictionary(docs: DataFrame, text_col: str = "text", least_spread: int = LEAST_SPREAD) -> bytes:
+    """Prime on the identifiers and on the words of most texts, counted over all whole texts.
+
+    Copies of one text must not count as many: a word's spread is the number of 64ths of the texts, dealt by
+    their hashes, that it occurs in. Words of at least ``least_spread`` are ranked by spread and number of texts.
+    """
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("t")).select(F.xxhash64("t").alias("h"), "t")
+    kind = T.StructType([T.StructField("word", T.StringType()), T.StructField("spread", T.LongType()), T.StructField("n", T.LongType())])
+    counts = texts.mapInArrow(_word_counts, kind).groupBy("word").agg(F.bit_count(F.bit_or("spread")).alias("spread"), F.sum("n").alias("n"))
+    # no dictionary holds more words than a quarter of its bytes
+    top = counts.where(F.col("spread") >= least_spread).orderBy(F.desc("spread"), F.desc("n"), "word").limit(DICTIONARY_BYTES // 4)
+    return dictionary([r.word for r in top.collect()])
 
 
 def find_secrets(docs: DataFrame, primed: bytes, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``found``: spans (kind, start, end) of each whole text in code points, by start and kind.
 
-    Kinds are assign, access and hex (fixed patterns, leftmost and not overlapping within a kind) and novel,
-    which is added only where it overlaps none of these. Null and empty texts have none; repeated rows are
+    Kinds are assign, access and hex (fixed patterns, leftmost and not overlapping within a kind) and novel, the
+    incompressible strings behind sensitive words, also where they overlap the others. Null and empty texts have none; repeated rows are
     alike; a carried column ``found`` gives way; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(primed)

@@ -2,6 +2,8 @@ import random
 import re
 import string
 
+from pyspark.sql import functions as F
+
 from reckon.llm import secret_scan
 
 
@@ -30,6 +32,57 @@ def test_base_spans_match_brute_force(spark):
         assert [s for s in got[i] if s[0] != "novel"] == brute(t)
 
 
+def test_word_counts_match_brute_force(spark):
+    rng = random.Random(3)
+    bits = ["Word", "naïve", "a_b-c", "x9", "9abc", "ab", "y" * 33, "word", " ", "\n", ".", "=", "tok3n", "ÉTÉ"]
+    texts = [None, ""] + ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(200)]
+    texts += texts[5:25]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    hashed = {r.text: r.h for r in df.where("text is not null").selectExpr("text", "xxhash64(text) AS h").collect()}
+    want = {}
+    for t in texts:
+        for w in {m[0].lower() for m in re.finditer(r"(?<![A-Za-z\x80-\U0010ffff_-])[A-Za-z\x80-\U0010ffff_-]+", t or "") if 3 <= len(m[0].encode()) <= 32 and not (t[m.end() : m.end() + 1].isdigit() or t[: m.start()][-1:].isdigit())}:
+            mask, n = want.get(w, (0, 0))
+            want[w] = mask | 1 << (hashed[t] & 63), n + 1
+    rows = df.where("text is not null").selectExpr("xxhash64(text) AS h", "text").mapInArrow(secret_scan._word_counts, "word string, spread long, n long").groupBy("word").agg(F.bit_or("spread").alias("s"), F.sum("n").alias("n")).collect()
+    low = {r.word: (r.s & (1 << 64) - 1, r.n) for r in rows}
+    # words that differ in the case of letters beyond A-Z are one word only when put together by Spark
+    assert {k: v[0] for k, v in low.items()} == {k: v[0] for k, v in want.items()}
+
+
+def test_planted_secrets_and_benign_strings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    primed = secret_scan.fit_dictionary(docs)
+    novelty = secret_scan.Novelty(primed)
+    texts = [r.text for r in docs.where("length(text) > 400").orderBy("doc_id").limit(200).collect()]
+    rng = random.Random(11)
+    alnum, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    words = [w for w in secret_scan.IDENTIFIERS.split() if w.isalpha() and len(w) > 3]
+    word = lambda: rng.choice(words)
+    secrets = [lambda: some(alnum, 16), lambda: some(alnum, 40), lambda: some(hexes, 32), lambda: some(hexes, 40), lambda: some(alnum + "+/", 44), lambda: some(alnum + "+/", 2000), lambda: "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))]
+    benign = [lambda: f"/{word()}/{word()}/{word()}/v2", lambda: f"http://{word().lower()}.example.com/{word()}", lambda: f"{word()}{word().title()}{word().title()}Id", lambda: f"{word()}_{word()}_{word()}_id2",
+              lambda: f"{word()}-{word()}-2024.tar.gz", lambda: f"{word().upper()}_{word().upper()}_KEY2", lambda: f"2024-{rng.randint(10, 12)}-{rng.randint(10, 28)}T10", lambda: "application/x-www-form-urlencoded2", lambda: "deadbeef" * 4]
+
+    def found(make):
+        s, text = make(), rng.choice(texts)
+        at = text.find(" ", rng.randrange(len(text) - 100))
+        lead = text[:at] + " " + rng.choice(["bearer ", "the password is ", "credential ", "api_key: ", "token=", "secret is "])
+        return any(x < len(lead) + len(s) and len(lead) < y for x, y in novelty.spans(lead + s + " " + text[at:]))
+
+    assert sum(found(m) for m in secrets for _ in range(30)) >= 0.9 * 30 * len(secrets)
+    assert sum(found(m) for m in benign for _ in range(30)) <= 0.1 * 30 * len(benign)
+
+
+def test_novel_strings_of_the_documents_lie_in_sensitive_places(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = secret_scan.find_secrets(docs, secret_scan.fit_dictionary(docs)).collect()
+    planted = [(r.text, m.start(1)) for r in rows for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")]
+    told = {(r.text, s.start) for r in rows for s in r.found if s.kind == "novel"}
+    assert planted and len(set(planted) & told) >= 0.9 * len(set(planted))
+    assert len(told - set(planted)) <= 0.1 * len(told)
+
+
 def test_novel_strings_are_reported(spark):
     rng = random.Random(8)
     blob = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
