@@ -188,20 +188,22 @@ def predict(model: Model, data: np.ndarray, offsets: np.ndarray, window: int = W
 
 
 def sample(docs: DataFrame, allowed, id_col: str, text_col: str, lang_col: str, per_lang: int, window: int) -> list:
-    """At most ``per_lang`` labelled windows a language, from a hashed place in documents of least hashed id.
+    """At most ``per_lang`` labelled windows a language, from a hashed place in documents of least hash of id and text.
 
-    Hashes are even, so the least of them lie below a threshold that the language's count gives (four times
-    what is wanted); only rows below it are ranked, whatever the number of rows and partitions.
+    Hashes are even, so the least of them lie below a threshold that the language's number of distinct hashes
+    gives (four times what is wanted). Only rows below it are ranked, each hash once, whatever the number of
+    rows, repeats and partitions; equal and null ids do no harm, as texts are hashed too.
     """
-    spot = F.xxhash64(F.col(id_col), F.lit("spot"))
+    spot = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("spot"))
     at = F.pmod(spot, F.greatest(F.length(text_col) - F.lit(window), F.lit(1)).cast("long")) + 1
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.substring(F.col(text_col), at.cast("int"), F.lit(window)).alias("piece"))
-    share = rows.groupBy("lang").agg((F.lit(4.0 * per_lang) / F.count(F.lit(1))).alias("share"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.substring(F.col(text_col), at.cast("int"), F.lit(window)).alias("piece"))
+    share = rows.groupBy("lang").agg((F.lit(4.0 * per_lang) / F.approx_count_distinct("h", 0.02)).alias("share"))
     place = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     rows = rows.join(F.broadcast(share), "lang").where((place <= F.col("share")) | (F.col("share") >= 0.5))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "piece"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= per_lang).orderBy("lang", "rank").collect()
+    once = rows.groupBy("lang", "h").agg(F.min("piece").alias("piece"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= per_lang).orderBy("lang", "rank").collect()
 
 
 def fit(docs: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, steps: int = STEPS) -> Model | None:

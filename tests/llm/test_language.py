@@ -50,3 +50,46 @@ def test_odd_texts(spark):
     none = language.fit(df, F.lit(False))
     assert none is None
     assert {r.lang_pred for r in language.identify(df, none).collect()} == {"und"}
+
+
+def test_sample_survives_equal_and_null_ids(spark):
+    rows = [(i, f"{lang} text number {i} of this language {lang}", lang) for lang in ("en", "de", "fr", "es") for i in range(300)]
+    for ids in (lambda i: 7, lambda i: None, lambda i: i):
+        df = spark.createDataFrame([(ids(i), t, lang) for i, t, lang in rows] + [(1, "copied text in es", "es")] * 2000, "doc_id long, text string, lang string")
+        got = language.sample(df, F.lit(True), "doc_id", "text", "lang", 50, 96)
+        counts = {lang: [r.piece for r in got if r.lang == lang] for lang in ("en", "de", "fr", "es")}
+        assert all(len(x) == 50 for x in counts.values())
+        assert sum("copied" in p for p in counts["es"]) <= 1
+
+
+def test_reading_matches_a_plain_network():
+    """Windows, padding and pooling against a gated recurrent network written out for one byte at a time."""
+    rng = np.random.default_rng(5)
+    model = language.Model.fresh(["a", "b", "c"], 4, rng)
+    texts = [b"", b"x", bytes(rng.integers(0, 256, 7, dtype=np.uint8)), bytes(rng.integers(0, 256, 31, dtype=np.uint8))]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(side, window):
+        h, out = np.zeros(4), []
+        for byte in window:
+            x, past = model.inputs[side][byte].astype(float), h @ model.recur[side].astype(float)
+            z, r = sigmoid(x[:4] + past[:4]), sigmoid(x[4:8] + past[4:8])
+            c = np.tanh(x[8:] + r * past[8:])
+            h = z * h + (1 - z) * c
+            out.append(h)
+        return out
+
+    pooled, voted = [], []
+    for text in texts:
+        p, v = np.zeros(3), np.zeros(3)
+        for at in range(0, len(text), 8):
+            window = list(text[at : at + 8]) + [0] * (8 - len(text[at : at + 8]))
+            ahead, back = states(0, window), states(1, window[::-1])[::-1]
+            for t in range(len(text[at : at + 8])):
+                e = np.exp(np.concatenate([ahead[t], back[t]]) @ model.out.astype(float) + model.bias)
+                p += e / e.sum()
+                v[(e / e.sum()).argmax()] += 1
+        pooled.append(p / max(1, len(text)))
+        voted.append(v / max(1, len(text)))
+    got_p, got_v = language.predict(model, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), window=8)
+    assert np.allclose(got_p, pooled, atol=1e-5) and np.allclose(got_v, voted, atol=1e-6)
