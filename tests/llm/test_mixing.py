@@ -22,6 +22,7 @@ def same(got, want):
     key = lambda r: tuple((x is None, 0 if x is None else x) for x in r)
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3]) and a[4] == b[4]
+        assert ",".join(map(str, a[5])) == b[5]
 
 
 def test_matches_sql(spark):
@@ -58,3 +59,23 @@ def test_word_count_is_exact(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()]
     assert got == [0, 0, 0, 1, 7, 1, 1]
+
+
+def test_documents_follow_the_schedule(spark):
+    """Documents of 64 words, four to a block: sorted by slot, every stretch of the mix has the sources' weights."""
+    rows = [(i, f"s{i % 3}", "w " * 64, "x") for i in range(3000)]
+    got = rows_of(spark, rows)
+    placed = sorted((s, r.doc_id % 3, r.taken) for r in got for s in r.slots)
+    assert len({s for s, _, _ in placed}) >= len(placed) / 4 - 3
+    for n in (200, 600, 1500, 2500):
+        seen = [source for _, source, _ in placed[:n]]
+        for source, weight in ((0, 1), (1, 2), (2, 3)):
+            assert abs(seen.count(source) - n * weight / 6) < 40
+
+
+def test_another_sequence_gives_other_slots(spark, monkeypatch):
+    rows = [(i, f"s{i % 3}", "w " * 64, "x") for i in range(600)]
+    slots = lambda: {r.doc_id: r.slots for r in rows_of(spark, rows)}
+    golden = slots()
+    monkeypatch.setattr(mixing, "GOLDEN", 0.123)
+    assert slots() != golden
