@@ -14,15 +14,21 @@ from reckon.llm import decontam, language, mixing, sharding, simhash
 from reckon.llm.queries import held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if this pooled probability is reached, which is hardly above chance for a few languages.
-LEAST_SCORE = 0.3
+#: A document stays if its pooled probability is so many times what guessing among the learned languages gives.
+ABOVE_CHANCE = 1.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no known language: null texts, texts without letters, and those the model cannot tell."""
+    """Drop documents in no known language: null texts, texts without letters, and those the model cannot tell.
+
+    Equal texts go or stay together; repeated rows stay repeated. With one learned language there is nothing to
+    tell, so every text with a letter stays; with none, nothing does.
+    """
     model = language.fit(docs, ~held_out(3, 1))
     out = language.identify(docs.select(*COLUMNS), model)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    known = len(model.langs) if model else 0
+    least = ABOVE_CHANCE / known if known > 1 else 0.0
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,27 +58,34 @@ def _first_of_equals(rows: DataFrame) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which benchmark passages make up at least one word in twenty."""
+    """Drop documents of which benchmark passages make up at least one word in twenty. Repeated rows share their fate."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.find_contamination(docs.select(*COLUMNS), benchmark).where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it; what it takes of a last round is cut behind that word."""
+    """Repeat each document as often as the mix takes it; what it takes of a last round is cut behind that word.
+
+    Rows are put into the order of the schedule: partition by partition, each sorted by slot, so that the files
+    written are consecutive stretches of the mix. Documents of one block follow each other by their ids' digests;
+    repeated rows stand side by side.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS)).where("taken > 0")
-    rounds = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")) - 1)
     left = F.least(F.col("size"), F.col("taken") - F.col("round") * F.col("size"))
-    out = mixed.withColumn("round", F.explode(rounds)).withColumn("left", left)
+    out = mixed.select("*", F.posexplode("slots").alias("round", "slot")).withColumn("left", left)
     # the text up to the end of word number ``left``
     words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.array_join(F.slice(words, F.lit(1), F.col("left").cast("int")), "")
     text = F.when(F.col("left") < F.col("size"), cut).otherwise(F.col("text"))
     out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("left") < F.col("size"), F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*COLUMNS)
+    stretches = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # slots hold equally many words, so equal ranges of them are equal shares of the mix
+    stretch = F.least(F.floor(F.col("slot") * stretches / F.col("schedule_slots")), F.lit(stretches - 1))
+    return out.repartitionById(stretches, stretch.cast("int")).sortWithinPartitions("slot", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).select(*COLUMNS)
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place what is left into 24 shards of near equal bytes."""
+    """Place what is left into 24 shards of near equal bytes; equal texts are one group and stay together."""
     return sharding.shard(docs)
 
 
