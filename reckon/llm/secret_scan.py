@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reckon.durable import drop_stash, stash
 from reckon.llm.common import SLICE_BYTES, cuts, find_words, hash_words, map_texts, utf8
 
 #: Fixed kinds, in the order in which spans with the same start are listed.
@@ -219,9 +220,18 @@ def fit_dictionary(docs: DataFrame, text_col: str = "text", least_spread: int =
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("t")).select(F.xxhash64("t").alias("h"), "t")
     kind = T.StructType([T.StructField("word", T.StringType()), T.StructField("spread", T.LongType()), T.StructField("n", T.LongType())])
     counts = texts.mapInArrow(_word_counts, kind).groupBy("word").agg(F.bit_count(F.bit_or("spread")).alias("spread"), F.sum("n").alias("n"))
-    # no dictionary holds more words than a quarter of its bytes
-    top = counts.where(F.col("spread") >= least_spread).orderBy(F.desc("spread"), F.desc("n"), "word").limit(DICTIONARY_BYTES // 4)
-    return dictionary([r.word for r in top.collect()])
+    rank = F.col("spread") * 1000 + F.floor(F.log2("n") * 8)
+    counts = stash(counts.where(F.col("spread") >= least_spread).withColumn("rank", rank), "word-counts")
+    # a histogram of ranks tells where to cut, so that the driver gets the words that have room and few more
+    least, have = 0, 0
+    for cell in sorted(counts.groupBy("rank").agg(F.sum(F.length("word") + 1).alias("size")).collect(), reverse=True):
+        least, have = cell["rank"], have + cell["size"]
+        if have >= DICTIONARY_BYTES:
+            break
+    top = counts.where(F.col("rank") >= least).orderBy(F.desc("spread"), F.desc("n"), "word").limit(DICTIONARY_BYTES // 4)
+    words = [r.word for r in top.collect()]
+    drop_stash(counts)
+    return dictionary(words)
 
 
 def find_secrets(docs: DataFrame, primed: bytes, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
