@@ -3,8 +3,10 @@
 A stream has 1024-sample frames, each predicted by a constant, nothing (verbatim), a fixed polynomial or a
 quantised linear predictor of order 8, whichever takes fewest bits, with Rice-coded residuals. Frames of
 many streams are coded side by side: a step handles the same sample of up to ``ABREAST`` frames, so memory
-stays bounded however long a text is. Reading finds frames by their sync code and header checksum,
-verifies the frame checksum and the stream's MD5, and yields PCM blocks with their sample offsets.
+stays bounded however long a text is. Reading finds frames by their sync code and header checksum, verifies
+the frame checksum and the stream's MD5, and yields PCM blocks with their sample offsets. Where data look like
+the next header, a frame's checksum is wrong; that stream is then parted at checksums. Any range of samples is
+read through the seek table, from the frame at or before it.
 """
 
 from __future__ import annotations
@@ -253,28 +255,46 @@ def _parse_header(buf: bytes, at: int) -> tuple[int, int, int] | None:
     return (number, size, end + 1 - at) if end < len(buf) and crc8(buf[at:end]) == buf[end] else None
 
 
-def find_frames(buf: bytes) -> tuple[list[tuple[int, int, int, int]], int, bytes]:
-    """(start, end, header length, samples) of each frame of a stream, its samples in all, and its MD5."""
+def _metadata(buf: bytes) -> tuple[int, int, bytes, list[tuple[int, int]]]:
+    """Where the frames start, samples in all, the MD5, and (sample, offset) of the seek points of a stream."""
     if buf[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, last, total, md5 = 4, False, 0, b""
+    at, last, total, md5, points = 4, False, 0, b"", []
     while not last:
         last, kind, size = buf[at] >> 7, buf[at] & 0x7F, int.from_bytes(buf[at + 1 : at + 4], "big")
         if kind == 0:
             total = int.from_bytes(buf[at + 14 : at + 22], "big") & ((1 << 36) - 1)
             md5 = buf[at + 22 : at + 38]
+        elif kind == 3:
+            points = [p[:2] for p in struct.iter_unpack(">QQH", buf[at + 4 : at + 4 + size])]
         at += 4 + size
-    found: list[list[int]] = []
-    while at < len(buf):
+    return at, total, md5, points
+
+
+def find_frames(buf: bytes, first: int = 0, end: int | None = None, checked: bool = False) -> tuple[list[tuple[int, int, int, int, int]], int, bytes]:
+    """(start, end, header length, samples, sample offset) of the frames that hold samples ``first`` to ``end`` of a
+    stream, its samples in all, and its MD5. If ``checked``, a frame ends only where its checksum agrees."""
+    at, total, md5, points = _metadata(buf)
+    stop = total if end is None else end
+    near = max((p for p in points if p[0] <= first), default=(0, 0))
+    at, place = at + near[1], near[0]
+    raw = np.frombuffer(buf, np.uint8)
+    out: list[tuple[int, int, int, int, int]] = []
+    while at < len(buf) and place < stop:
         head = _parse_header(buf, at)
-        if head and head[0] == len(found):
-            found.append([at, len(buf), head[2], head[1]])
-            if len(found) > 1:
-                found[-2][1] = at
-            at += head[2]
-        nxt = buf.find(b"\xff\xf8", at + (0 if head and head[0] == len(found) - 1 else 1))
-        at = nxt if nxt >= 0 else len(buf)
-    return [tuple(f) for f in found], total, md5
+        if head is None or head[0] != place // BLOCK:
+            raise ValueError("a frame's header is wrong")
+        close = buf.find(b"\xff\xf8", at + head[2])
+        while close >= 0:
+            following = _parse_header(buf, close)
+            if following and following[0] == head[0] + 1 and not (checked and crc16(raw, np.array([at]), np.array([close])).any()):
+                break
+            close = buf.find(b"\xff\xf8", close + 1)
+        close = close if close >= 0 else len(buf)
+        if place + head[1] > first:
+            out.append((at, close, head[2], head[1], place))
+        at, place = close, place + head[1]
+    return out, total, md5
 
 
 #: Leading zeros of sixteen bits.
@@ -322,9 +342,7 @@ class _Bits:
 
 
 def decode_frames(buf: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Samples [F, max size] of frames in one buffer; a wrong checksum raises."""
-    if crc16(buf, start, end).any():
-        raise ValueError("a frame's checksum is wrong")
+    """Samples [F, max size] of frames in one buffer, whose checksums the caller has verified."""
     n, longest = len(start), int(size.max(initial=0))
     bits = _Bits(buf)
     at = (start + head) * 8
@@ -407,34 +425,65 @@ def decode_frames(buf: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.
     return out.T
 
 
-def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
-    """The bytes of each stream; wrong checksums, lengths or digests raise."""
-    out: list[np.ndarray] = []
-    jobs, totals = [], []
-    for i, s in enumerate(streams):
-        frames, total, md5 = find_frames(s)
-        out.append(np.zeros(total, np.uint8))
-        totals.append((total, md5))
-        place = 0
-        for a, b, head, size in frames:
-            jobs.append((i, a, b, head, size, place))
-            place += size
-        if place != total:
-            raise ValueError("a stream's length is wrong")
+def _pieces(streams: list[bytes], jobs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [streams[i][a:b] for i, a, b, *_ in jobs]
+    size = np.array([len(p) for p in parts], np.int64)
+    end = np.cumsum(size)
+    return np.frombuffer(b"".join(parts), np.uint8), end - size, end
+
+
+def read_samples(streams: list[bytes], ranges: list[tuple[int, int]] | None = None) -> list[np.ndarray]:
+    """The bytes of each stream within its range of samples (all of them if None), by way of the seek table.
+
+    A frame whose checksum is wrong makes its stream be parted anew, at checksums; if that fails too, it raises.
+    """
+    ranges = ranges or [(0, _metadata(s)[1]) for s in streams]
+
+    def frames(i: int, checked: bool) -> list[tuple]:
+        return [(i, *f) for f in find_frames(streams[i], *ranges[i], checked=checked)[0]]
+
+    jobs = [f for i in range(len(streams)) for f in frames(i, False)]
+    damaged: set[int] = set()
     for lo in range(0, len(jobs), ABREAST):
         part = jobs[lo : lo + ABREAST]
-        pieces = [streams[i][a:b] for i, a, b, *_ in part]
-        end = np.cumsum([len(p) for p in pieces])
-        x = decode_frames(np.frombuffer(b"".join(pieces), np.uint8), end - np.array([len(p) for p in pieces]), end, np.array([j[3] for j in part]), np.array([j[4] for j in part]))
+        damaged |= {part[f][0] for f in np.flatnonzero(crc16(*_pieces(streams, part)))}
+    if damaged:
+        again = [f for i in sorted(damaged) for f in frames(i, True)]
+        if crc16(*_pieces(streams, again)).any():
+            raise ValueError("a frame's checksum is wrong")
+        jobs = [f for f in jobs if f[0] not in damaged] + again
+    out = [np.zeros(max(0, hi - lo), np.uint8) for lo, hi in ranges]
+    filled = [0] * len(out)
+    for lo in range(0, len(jobs), ABREAST):
+        part = jobs[lo : lo + ABREAST]
+        buf, start, end = _pieces(streams, part)
+        x = decode_frames(buf, start, end, np.array([j[3] for j in part]), np.array([j[4] for j in part]))
         x = (x + 128).astype(np.uint8)
         for f, (i, _, _, _, size, place) in enumerate(part):
-            out[i][place : place + size] = x[f, :size]
-    for samples, (_, md5) in zip(out, totals):
-        if hashlib.md5((samples ^ 0x80).tobytes()).digest() != md5:
+            first, last = ranges[i]
+            a, b = max(first, place), min(last, place + size)
+            out[i][a - first : b - first] = x[f, a - place : b - place]
+            filled[i] += max(0, b - a)
+    if any(n != len(x) for n, x in zip(filled, out)):
+        raise ValueError("a stream's length is wrong")
+    return out
+
+
+def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
+    """The bytes of each whole stream; wrong checksums, lengths or digests raise."""
+    out = read_samples(streams)
+    for samples, s in zip(out, streams):
+        if hashlib.md5((samples ^ 0x80).tobytes()).digest() != _metadata(s)[2]:
             raise ValueError("a stream's digest is wrong")
     return out
 
 
+def blocks_of(samples: np.ndarray) -> list[tuple[int, bytes, int]]:
+    """(sample offset, PCM bytes, CRC-32) of the blocks of a stream read back."""
+    pcm = (samples ^ 0x80).tobytes()
+    return [(at, pcm[at : at + BLOCK], zlib.crc32(pcm[at : at + BLOCK])) for at in range(0, len(pcm), BLOCK)]
+
+
 def payload(data: np.ndarray) -> np.ndarray:
     """The bytes of a text, filled up by zeros to a positive multiple of 64."""
     out = np.zeros(max(PAD, -(-len(data) // PAD) * PAD), np.uint8)
@@ -475,10 +524,10 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                 stream = batch.column(1)[i].as_py()
                 if stream is None:
                     continue
-                x = (decode_streams([stream])[0] ^ 0x80).tobytes()
-                cut = [x[j : j + BLOCK] for j in range(0, len(x), BLOCK)]
+                cut = blocks_of(decode_streams([stream])[0])
                 ids = pa.concat_arrays([batch.column(0).slice(i, 1)] * len(cut))
-                cols = [pa.array(range(len(cut)), pa.int32()), pa.array([j * BLOCK for j in range(len(cut))], pa.int64()), pa.array([len(c) for c in cut], pa.int32()), pa.array(cut, pa.binary()), pa.array([zlib.crc32(c) for c in cut], pa.int64())]
+                offset, pcm, crc = zip(*cut)
+                cols = [pa.array(range(len(cut)), pa.int32()), pa.array(offset, pa.int64()), pa.array([len(c) for c in pcm], pa.int32()), pa.array(pcm, pa.binary()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays([ids, *cols], names=schema.names)
 
     return media.select(id_col, media_col).mapInArrow(run, schema)
@@ -487,21 +536,26 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
 def digest(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Store each text as FLAC, read the stored bytes back, and append digests and a feature of what was read.
 
-    Columns: ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (last 64 bytes),
-    ``media_bytes``, ``media_sha256`` and ``feature``. Null and empty texts hold 64 zero bytes. Equal texts
+    Columns: ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (last 64 bytes, read through the
+    seek table), ``media_bytes``, ``media_sha256``, ``feature``, and ``n_blocks`` and ``blocks_sha256``, the number of
+    PCM blocks and the digest of their list (offset:samples:crc32, comma-joined). Null and empty texts hold 64 zero bytes. Equal texts
     get equal values; columns of these names give way; an empty table gives no rows.
     """
-    fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("n_blocks", T.LongType()), ("blocks_sha256", T.StringType())]
 
     def make():
         def f(data: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> list[pa.Array]:
             streams = encode_streams([payload(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])])
             back = decode_streams(streams)
             raw = [b.tobytes() for b in back]
+            tails = read_samples(streams, [(len(r) - PAD, len(r)) for r in raw])
+            blocks = [blocks_of(b) for b in back]
+            lists = [",".join(f"{at}:{len(pcm)}:{crc}" for at, pcm, crc in x) for x in blocks]
             return [
                 pa.array(np.diff(offsets), pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
-                pa.array([zlib.crc32(r[-PAD:]) for r in raw], pa.int64()), pa.array([len(s) for s in streams], pa.int64()),
-                pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()), pa.array([feature(b) for b in back], pa.string()),
+                pa.array([zlib.crc32(t.tobytes()) for t in tails], pa.int64()), pa.array([len(s) for s in streams], pa.int64()),
+                pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()), pa.array([feature(b) for b in back], pa.string()), pa.array([len(x) for x in blocks], pa.int64()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lists], pa.string()),
             ]
 
         return f
