@@ -123,16 +123,28 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(jaro_winkler(a.fillna("").tolist(), b.fillna("").tolist()))
 
 
+#: Pairs of names that a Python worker remembers.
+REMEMBERED = 1 << 17
+_known: dict[tuple[str | None, str | None], float] = {}
+
+
 @F.pandas_udf(T.DoubleType())
 def vendor_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(vendor_similarity(a.tolist(), b.tolist()))
+    """Names repeat from row to row, so each distinct pair of a batch is compared once and remembered for the next."""
+    pairs = list(zip(a.where(a.notna(), None), b.where(b.notna(), None)))
+    fresh = [p for p in dict.fromkeys(pairs) if p not in _known]
+    if len(_known) + len(fresh) > REMEMBERED:
+        _known.clear()
+        fresh = list(dict.fromkeys(pairs))
+    _known.update(zip(fresh, vendor_similarity([p for p, _ in fresh], [q for _, q in fresh]).tolist()))
+    return pd.Series([_known[p] for p in pairs], dtype=float)
 
 
 def with_similarity(pairs: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
-    """Add the vendor similarity of two columns, computed once for each distinct pair of unequal names."""
-    equal = F.col(a).eqNullSafe(F.col(b))
-    same = F.when(F.size(token_column(F.col(a))) > 0, 1.0).otherwise(0.0)
-    distinct = pairs.where(~equal).select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct()
-    known = distinct.select("__a", "__b", vendor_similarity_udf("__a", "__b").alias("__s"))
-    joined = pairs.join(known, pairs[a].eqNullSafe(known["__a"]) & pairs[b].eqNullSafe(known["__b"]), "left")
-    return joined.withColumn(out, F.when(equal, same).otherwise(F.col("__s"))).drop("__a", "__b", "__s")
+    """Add the vendor similarity of two columns. Equal names are settled by Spark and others in Arrow batches, where they
+    stand: no shuffle and no second reading of the pairs."""
+    x, y = F.col(a), F.col(b)
+    equal = x.eqNullSafe(y)
+    same = F.when(F.size(token_column(x)) > 0, 1.0).otherwise(0.0)
+    unequal = vendor_similarity_udf(F.when(~equal, x), F.when(~equal, y))
+    return pairs.withColumn(out, F.when(equal, same).otherwise(unequal))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from reckon.durable import drop_stash, stash
@@ -24,6 +24,14 @@ def _hook(edges: DataFrame, larger_only: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def by_component(rows: DataFrame, key: str = "component") -> GroupedData:
+    """Rows grouped for a solver in Python. Components are small and the solver slow, so they are dealt to all cores: a
+    plain shuffle would be coalesced by its bytes into a task or two."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, key).groupBy(key)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """One row (node, component) for each node that some edge joins to another node.
 

@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from reckon.durable import stash
 from reckon.functions.scalars import half_up, inr, month_start
 from reckon.functions.similarity import with_similarity
 from reckon.operators.matching import day_number, near_join
-from reckon.operators.vendors import similar_names
+from reckon.operators.medians import medians_before
+from reckon.operators.vendors import similar_pairs
 from reckon.plans.config import DETECTORS, Detector
 
 ORDER = (
@@ -32,12 +34,15 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 
 @dataclass
 class Case:
-    """In-period rows, the unmatched ones among them, out-of-period rows, earlier rows and run settings."""
+    """In-period rows, the unmatched ones among them, out-of-period rows, rows of finished runs and run settings.
+
+    ``past`` is (side, vendor, date, amount, period) of all finished runs; a run's history are those of earlier periods.
+    """
 
     txns: DataFrame
     unmatched: DataFrame
     external: DataFrame
-    history: DataFrame
+    past: DataFrame
     runs: DataFrame
     detectors: dict[str, Detector] = field(default_factory=lambda: dict(DETECTORS))
     account_names: dict[str, str] = field(default_factory=dict)
@@ -65,27 +70,56 @@ def _opposite(side: Column) -> Column:
     return F.when(side == "bank", "ledger").otherwise("bank")
 
 
-def earlier_rows(txns: DataFrame, runs: DataFrame) -> DataFrame:
-    """For each run the in-period rows of finished runs of earlier periods: (run_id, side, vendor, date, amount)."""
-    done = runs.where(F.col("status").isin("completed", "awaiting_review")).select(F.col("run_id").alias("from_run"), F.col("period").alias("from_period"))
-    rows = txns.where("not external").select(F.col("run_id").alias("from_run"), "side", "vendor", "date", "amount").join(F.broadcast(done), "from_run")
-    return rows.join(F.broadcast(runs.select("run_id", "period")), F.col("from_period") < F.col("period")).select("run_id", "side", "vendor", "date", "amount")
+def finished_rows(txns: DataFrame, runs: DataFrame) -> DataFrame:
+    """In-period rows of finished runs: (side, vendor, date, amount, period)."""
+    done = runs.where(F.col("status").isin("completed", "awaiting_review")).select("run_id", "period")
+    return txns.where("not external").select("run_id", "side", "vendor", "date", "amount").join(done, "run_id").drop("run_id")
 
 
-def vendor_history(txns: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per (run, side, vendor): count and first date of earlier periods, by windows over periods, not by a join of runs."""
-    per = txns.where("not external").join(runs.select("run_id", "period", "status"), "run_id")
-    finished = F.col("status").isin("completed", "awaiting_review")
-    sums = per.groupBy("side", "vendor", "period").agg(F.count(F.when(finished, 1)).alias("n"), F.min(F.when(finished, F.col("date"))).alias("first"))
+def vendor_history(past: DataFrame, asked: DataFrame) -> DataFrame:
+    """(side, vendor, period, prior, first_seen) for each (side, vendor, period) asked for: earlier rows and their first date.
+
+    Rows are counted by vendor and period once; running sums over the periods give what came before each.
+    """
+    sums = past.groupBy("side", "vendor", "period").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"))
+    both = sums.withColumn("ask", F.lit(False)).unionByName(asked.select("side", "vendor", "period").distinct().withColumn("ask", F.lit(True)), allowMissingColumns=True)
+    once = both.groupBy("side", "vendor", "period").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("first").alias("first"), F.max("ask").alias("ask"))
     before = W.partitionBy("side", "vendor").orderBy("period").rowsBetween(W.unboundedPreceding, -1)
-    return sums.select("side", "vendor", "period", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("prior"), F.min("first").over(before).alias("first_seen"))
+    return once.withColumns({"prior": F.coalesce(F.sum("n").over(before), F.lit(0)), "first_seen": F.min("first").over(before)}).where("ask").select("side", "vendor", "period", "prior", "first_seen")
 
 
-def known_vendors(case: Case) -> DataFrame:
-    """(run_id, vendor, first_seen): vendors of the run's ledger and of earlier ledgers, and when any row first named them."""
-    seen = case.history.select("run_id", "vendor", "date", (F.col("side") == "ledger").alias("ledger"))
-    own = case.txns.where("side = 'ledger'").select("run_id", "vendor", "date", F.lit(True).alias("ledger"))
-    return seen.unionByName(own).groupBy("run_id", "vendor").agg(F.min("date").alias("first_seen"), F.max("ledger").alias("known"))
+def run_history(past: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, side, vendor, n, first_seen): every vendor that earlier periods of a run hold."""
+    first = past.groupBy("side", "vendor").agg(F.min("period").alias("since"))
+    asked = first.join(F.broadcast(runs.select("run_id", "period")), F.col("since") < F.col("period")).drop("since")
+    told = vendor_history(past, asked)
+    return asked.join(told, ["side", "vendor", "period"]).select("run_id", "side", "vendor", F.col("prior").alias("n"), "first_seen")
+
+
+def known_vendors(case: Case, names: DataFrame) -> DataFrame:
+    """(run_id, vendor, first_seen, known, paid) of the names (run_id, vendor) asked for.
+
+    ``known``: named by the run's ledger or an earlier one; ``first_seen``: by that ledger or any earlier row;
+    ``paid``: earlier bank rows.
+    """
+    asked = case.of_run(names.select("run_id", "vendor").distinct(), "period")
+    both = asked.select("vendor", "period", F.explode(F.array(F.lit("bank"), F.lit("ledger"))).alias("side"))
+    told = vendor_history(case.past, both).groupBy("vendor", "period").agg(
+        F.min("first_seen").alias("earlier"), F.max(F.when(F.col("side") == "ledger", F.col("prior"))).alias("booked"), F.max(F.when(F.col("side") == "bank", F.col("prior"))).alias("paid")
+    )
+    own = case.txns.where("side = 'ledger'").groupBy("run_id", "vendor").agg(F.min("date").alias("own"))
+    out = asked.join(told, ["vendor", "period"], "left").join(own, ["run_id", "vendor"], "left")
+    return out.select("run_id", "vendor", F.least("earlier", "own").alias("first_seen"), (F.col("own").isNotNull() | (F.coalesce("booked", F.lit(0)) > 0)).alias("known"), F.coalesce("paid", F.lit(0)).alias("paid"))
+
+
+def similar_to_known(case: Case, names: DataFrame, least: float = 0.9) -> DataFrame:
+    """(run_id, vendor) of the names that are similar to a vendor of the run's ledger or of an earlier one."""
+    since = case.past.where("side = 'ledger'").groupBy("vendor").agg(F.min("period").alias("since"))
+    own = case.txns.where("side = 'ledger'").select("run_id", F.col("vendor").alias("master")).distinct().withColumn("own", F.lit(True))
+    near = similar_pairs(names.select("vendor"), since.select("vendor").unionByName(own.select(F.col("master").alias("vendor"))), least).select("vendor", "master")
+    hits = case.of_run(names.select("run_id", "vendor").distinct(), "period").join(near, "vendor")
+    hits = hits.join(since.withColumnRenamed("vendor", "master"), "master", "left").join(own, ["run_id", "master"], "left")
+    return hits.where((F.col("since") < F.col("period")) | F.col("own")).select("run_id", "vendor").distinct()
 
 
 def duplicate(case: Case, window: int = 3) -> DataFrame:
@@ -119,15 +153,11 @@ def new_vendor(case: Case) -> DataFrame:
     """Payments of 5000 and more to a vendor unknown so far, or first seen only days before."""
     days = int(case.detectors["new_vendor"].threshold)
     rows = case.unmatched.where((F.col("side") == "bank") & (F.abs("amount") >= 5000) & ~F.col("vendor").contains("—"))
-    prior = case.history.where("side = 'bank'").select("run_id", "vendor").distinct().withColumn("prior", F.lit(True))
-    seen = known_vendors(case)
-    rows = rows.join(prior, ["run_id", "vendor"], "left").where("prior is null").join(seen, ["run_id", "vendor"], "left")
-    # only vendors not known by name are compared with the master, by name alone
-    unsure = rows.where(~F.coalesce("known", F.lit(False))).select("run_id", "vendor").distinct()
-    master = seen.where("known").select("run_id", F.col("vendor").alias("master"))
-    similar = similar_names(unsure, master, 0.9).select("run_id", "vendor").distinct().withColumn("similar", F.lit(True))
-    rows = rows.join(similar, ["run_id", "vendor"], "left")
-    known = F.coalesce("known", F.lit(False)) | F.coalesce("similar", F.lit(False))
+    seen = stash(known_vendors(case, rows), "known-vendors")
+    # only vendors not known by name are compared with the known ones, by name alone
+    similar = similar_to_known(case, seen.where("paid = 0 and not known")).withColumn("similar", F.lit(True))
+    rows = rows.join(seen.where("paid = 0"), ["run_id", "vendor"]).join(similar, ["run_id", "vendor"], "left")
+    known = F.col("known") | F.coalesce("similar", F.lit(False))
     age = F.datediff("date", "first_seen")
     rows = rows.withColumn("unknown", ~known).where(~known | age.between(0, days))
     text = F.when(F.col("unknown"), "Counterparty not in the vendor/customer master; first payment to this beneficiary").otherwise(
@@ -177,21 +207,19 @@ def period_boundary(case: Case) -> DataFrame:
 
 
 def history_medians(case: Case) -> DataFrame:
-    """(run_id, side, vendor, n, median, mad) of absolute earlier amounts, for vendors of unmatched rows; exact."""
-    wanted = case.unmatched.select("run_id", "side", "vendor").distinct()
-    rows = case.history.join(wanted, ["run_id", "side", "vendor"], "left_semi").withColumn("a", F.abs("amount"))
-    keys = ["run_id", "side", "vendor"]
-    exact = lambda c: F.median(c).cast("decimal(20,4)")
-    middle = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), exact("a").alias("median")).where("n >= 5")
-    away = rows.join(middle, keys).groupBy(*keys, "n", "median").agg(exact(F.abs(F.col("a") - F.col("median"))).alias("mad"))
+    """(side, vendor, period, n, median, mad) of absolute earlier amounts, for vendors of unmatched rows with at least five.
+
+    A deviation of zero counts as a twentieth of the median, or as one.
+    """
+    out = medians_before(case.past, case.of_run(case.unmatched.select("run_id", "side", "vendor").distinct(), "period"))
     spread = F.when(F.col("mad") != 0, F.col("mad")).when(F.col("median") != 0, F.col("median") * F.lit("0.05").cast("decimal(4,2)")).otherwise(F.lit(1))
-    return away.withColumn("mad", spread.cast("decimal(24,6)"))
+    return out.withColumn("mad", spread.cast("decimal(24,6)"))
 
 
 def amount_outlier(case: Case) -> DataFrame:
     """Amounts far from the median of at least five earlier ones of the vendor, in robust deviations."""
     k = case.detectors["amount_outlier"].threshold
-    rows = case.unmatched.join(history_medians(case), ["run_id", "side", "vendor"])
+    rows = case.of_run(case.unmatched, "period").join(history_medians(case), ["side", "vendor", "period"])
     z = (F.lit("0.6745").cast("decimal(5,4)") * (F.abs("amount") - F.col("median"))).cast("double") / F.col("mad").cast("double")
     rows = rows.withColumn("z", z).where(F.abs("z") >= k)
     raw = F.least(F.lit(0.9), 0.3 + 0.08 * (F.abs("z") - k))
@@ -199,24 +227,23 @@ def amount_outlier(case: Case) -> DataFrame:
     return _signal(rows, "amount_outlier", raw, text, None, {"robustZ": half_up(F.col("z"), 2), "median": F.col("median").cast("decimal(18,2)"), "historyCount": F.col("n")})
 
 
-def _banded(case: Case, share: float, days: int) -> DataFrame:
-    """Unmatched rows with the unmatched rows of the other side within a share of their amount and within days.
+def _banded(rows: DataFrame, others: DataFrame, share: float, days: int) -> DataFrame:
+    """Rows with the ``others`` (prefixed by o_) of the other side within a share of their amount and within days.
 
-    Amounts of either sign are bucketed by logarithm, a bucket being at least as wide as the band; rows near
-    zero, whose band can hold rows of the other sign only if the share exceeds 1, meet none.
+    Amounts of either sign are bucketed by logarithm, a bucket being a little wider than the band; zero meets zero.
     """
-    width = -math.log(1 - share)
-    bucket = lambda a: F.floor(F.log(F.abs(a).cast("double")) / width)
-    t = case.unmatched.where("amount <> 0").withColumn("o_side", _opposite(F.col("side"))).withColumn("sign", F.col("amount") < 0)
+    width = -math.log(1 - share) * (1 + 1e-9)
+    bucket = lambda a: F.when(a == 0, F.lit(-1 << 40)).otherwise(F.floor(F.log(F.abs(a).cast("double")) / width))
+    t = rows.withColumn("o_side", _opposite(F.col("side"))).withColumn("sign", F.col("amount") < 0)
     t = t.withColumn("bucket", F.explode(F.sequence(bucket(F.col("amount")) - 1, bucket(F.col("amount")) + 1)))
-    o = _other(case.unmatched).where("o_amount <> 0").withColumn("sign", F.col("o_amount") < 0).withColumn("bucket", bucket(F.col("o_amount")))
+    o = others.withColumn("sign", F.col("o_amount") < 0).withColumn("bucket", bucket(F.col("o_amount")))
     near = near_join(t, o, ["run_id", "o_side", "sign", "bucket"], [(day_number(F.col("date")), day_number(F.col("o_date")), days)])
     return near.where(F.abs(F.col("amount") - F.col("o_amount")) <= F.abs("amount") * F.lit(str(share)).cast("decimal(4,2)")).drop("sign", "bucket")
 
 
 def amount_mismatch(case: Case) -> DataFrame:
     """An open row of the other side, of the sign, a similar vendor and nearly the amount, within three days."""
-    near = with_similarity(_banded(case, 0.05, 3).where("amount <> o_amount"), "vendor", "o_vendor").where("similarity >= 0.8")
+    near = with_similarity(_banded(case.unmatched, _other(case.unmatched), 0.05, 3).where("amount <> o_amount"), "vendor", "o_vendor").where("similarity >= 0.8")
     gap = F.abs(F.col("amount") - F.col("o_amount"))
     best = near.withColumn("n", F.row_number().over(W.partitionBy("run_id", "id").orderBy(gap, "o_ord", "o_id"))).where("n = 1")
     text = F.concat(F.initcap("o_side"), F.lit(" "), F.col("o_id"), F.lit(" matches counterparty and date but differs by "), inr(gap))
@@ -245,8 +272,11 @@ def cross_account(case: Case) -> DataFrame:
 
 def no_counterpart(case: Case) -> DataFrame:
     """Every open row: booked against another account, without anything near it, or with near amounts."""
-    near = _banded(case, 0.2, 7).groupBy("run_id", "id").agg(F.count(F.lit(1)).alias("near"))
-    rows = case.unmatched.join(near, ["run_id", "id"], "left").join(cross_account(case), ["run_id", "id"], "left").fillna(0, ["near"])
+    # rows alike in side, date and amount are counted together, on both sides of the join
+    spots = case.unmatched.groupBy("run_id", "side", "date", "amount").agg(F.count(F.lit(1)).alias("n"))
+    others = spots.select("run_id", F.col("side").alias("o_side"), F.col("date").alias("o_date"), F.col("amount").alias("o_amount"), F.col("n").alias("o_n"))
+    near = _banded(spots.drop("n"), others, 0.2, 7).groupBy("run_id", "side", "date", "amount").agg(F.sum("o_n").alias("near"))
+    rows = case.unmatched.join(near, ["run_id", "side", "date", "amount"], "left").join(cross_account(case), ["run_id", "id"], "left").fillna(0, ["near"])
     other, crossed = _opposite(F.col("side")), F.col("o_id").isNotNull()
     names = F.create_map(*[F.lit(x) for kv in case.account_names.items() for x in kv]) if case.account_names else None
     label = lambda c: F.coalesce(names[F.col(c)], F.col(c)) if names is not None else F.col(c)

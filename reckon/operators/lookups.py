@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from reckon.durable import stash
 from reckon.functions.scalars import month_start
 from reckon.functions.similarity import with_similarity
 from reckon.operators.matching import day_number, near_join
+from reckon.operators.medians import counted_amounts, histograms_before, middles_before
+from reckon.operators.vendors import similar_pairs
 
 
 def _other(rows: DataFrame) -> DataFrame:
@@ -34,18 +37,23 @@ def find_duplicates(focus: DataFrame, txns: DataFrame, days: int = 7) -> DataFra
     return with_similarity(near.where("id <> o_id"), "vendor", "o_vendor").where("similarity >= 0.85").select("run_id", "id", "o_id", F.abs(F.datediff("date", "o_date")).alias("days"))
 
 
-def vendor_summary(focus: DataFrame, history: DataFrame, known: DataFrame) -> DataFrame:
+def vendor_summary(focus: DataFrame, past: DataFrame, runs: DataFrame, known: DataFrame) -> DataFrame:
     """Per row: number of earlier amounts of similar vendors (.9), their upper median, the last five, and whether the
-    vendor is in the master and since when. ``known`` is (run_id, vendor, first_seen, known)."""
-    names = focus.select("run_id", "side", "vendor").distinct()
-    past = history.select("run_id", "side", F.col("vendor").alias("h_vendor")).distinct()
-    near = with_similarity(names.join(past, ["run_id", "side"]), "vendor", "h_vendor").where("similarity >= 0.9").select("run_id", "side", "vendor", "h_vendor")
-    rows = near.join(history.withColumnRenamed("vendor", "h_vendor"), ["run_id", "side", "h_vendor"])
-    sizes = F.array_sort(F.collect_list(F.abs("amount")))
-    dated = F.array_sort(F.collect_list(F.struct("date", "amount")))
-    per = rows.groupBy("run_id", "side", "vendor").agg(F.count(F.lit(1)).alias("n"), sizes.alias("sizes"), dated.alias("dated"))
-    per = per.withColumn("median", F.get("sizes", F.floor(F.col("n") / 2).cast("int"))).withColumn("last5", F.slice("dated", F.greatest(F.col("n") - 4, F.lit(1)).cast("int"), F.lit(5)))
-    out = focus.select("run_id", "id", "side", "vendor").join(per.drop("sizes", "dated"), ["run_id", "side", "vendor"], "left").join(known, ["run_id", "vendor"], "left")
+    vendor is in the master and since when. ``past`` is (side, vendor, date, amount, period) of finished runs,
+    ``known`` (run_id, vendor, first_seen, known).
+
+    Names are compared once each; amounts are counted, and only the last five of a period are kept for the last five.
+    """
+    asked = focus.join(runs.select("run_id", "period"), "run_id").select("side", "vendor", "period").distinct()
+    near = similar_pairs(asked.select("vendor"), past.select("vendor"), 0.9).select("vendor", F.col("master").alias("h_vendor"))
+    rows = past.withColumnRenamed("vendor", "h_vendor").join(near, "h_vendor").drop("h_vendor").join(asked.select("side", "vendor").distinct(), ["side", "vendor"], "left_semi")
+    amounts = stash(counted_amounts(rows), "summary-amounts")
+    middle = middles_before(histograms_before(amounts, asked), amounts).select("side", "vendor", "period", "n", (F.col("x2").cast("decimal(20,2)") / 100).cast("decimal(18,2)").alias("median"))
+    newest = W.partitionBy("side", "vendor", "at").orderBy(F.desc("date"), F.desc("amount"))
+    tops = rows.withColumnRenamed("period", "at").withColumn("k", F.row_number().over(newest)).where("k <= 5").drop("k")
+    last = asked.join(tops, ["side", "vendor"]).where("at < period").withColumn("k", F.row_number().over(W.partitionBy("side", "vendor", "period").orderBy(F.desc("date"), F.desc("amount")))).where("k <= 5")
+    last = last.groupBy("side", "vendor", "period").agg(F.array_sort(F.collect_list(F.struct("date", "amount"))).alias("last5"))
+    out = focus.select("run_id", "id", "side", "vendor").join(runs.select("run_id", "period"), "run_id").join(middle, ["side", "vendor", "period"], "left").join(last, ["side", "vendor", "period"], "left").join(known, ["run_id", "vendor"], "left")
     return out.select("run_id", "id", F.coalesce("n", F.lit(0)).alias("n"), "median", "last5", "first_seen", F.coalesce("known", F.lit(False)).alias("in_master"))
 
 

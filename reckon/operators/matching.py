@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from reckon.durable import stash
 from reckon.functions.scalars import INTERNAL_REFERENCES, half_up, normal_reference
 from reckon.functions.similarity import vendor_similarity_udf, with_similarity
-from reckon.operators.components import connected_components
+from reckon.operators.components import by_component, connected_components
 from reckon.plans.config import P2, P4, Pass, Rules
 
 TXN = ["id", "date", "amount", "vendor", "narration", "reference", "account_id", "channel", "ord"]
@@ -31,28 +31,29 @@ def side(txns: DataFrame, name: str, prefix: str) -> DataFrame:
     return txns.where(F.col("side") == name).select("run_id", *[F.col(c).alias(f"{prefix}_{c}") for c in TXN])
 
 
-def near_join(left: DataFrame, right: DataFrame, keys: list[str], ranges: list[tuple[Column, Column, float]]) -> DataFrame:
-    """Inner join on ``keys`` and on |left - right| <= width for each (left, right, width) of numeric expressions.
+def near_join(left: DataFrame, right: DataFrame, keys: list[str], ranges: list[tuple[Column, Column, Decimal | int]]) -> DataFrame:
+    """Inner join on ``keys`` and on |left - right| <= width for each (left, right, width) of decimals or whole numbers.
 
     Both sides are bucketed by the width and the left one is also sent to the two neighbouring buckets, so the
-    join is an equi-join whose candidates lie within two widths; then the bounds are checked exactly.
+    join is an equi-join whose candidates lie within two widths; then the bounds are checked exactly. Buckets come
+    from decimal division: doubles would put 0.3 / 0.1 below 3 and lose what is exactly a width apart.
     """
     on, exact = list(keys), []
     for i, (a, b, width) in enumerate(ranges):
-        name = f"__bucket{i}"
+        name, width = f"__bucket{i}", Decimal(str(width))
         right = right.withColumn(f"__right{i}", b)
         left = left.withColumn(f"__left{i}", a)
         if width == 0:
             left, right = left.withColumn(name, F.col(f"__left{i}").cast("string")), right.withColumn(name, F.col(f"__right{i}").cast("string"))
         else:
-            at = F.floor(F.col(f"__left{i}").cast("double") / width)
+            at = F.floor(F.col(f"__left{i}").cast("decimal(24,6)") / F.lit(width))
             left = left.withColumn(name, F.explode(F.array(at - 1, at, at + 1)))
-            right = right.withColumn(name, F.floor(F.col(f"__right{i}").cast("double") / width))
+            right = right.withColumn(name, F.floor(F.col(f"__right{i}").cast("decimal(24,6)") / F.lit(width)))
         on.append(name)
         exact.append((i, width))
     out = left.join(right, on)
     for i, width in exact:
-        out = out.where(F.abs(F.col(f"__left{i}") - F.col(f"__right{i}")) <= F.lit(Decimal(str(width))))
+        out = out.where(F.abs(F.col(f"__left{i}") - F.col(f"__right{i}")) <= F.lit(width))
     return out.drop(*[c for c in out.columns if c.startswith(("__bucket", "__left", "__right"))])
 
 
@@ -125,7 +126,7 @@ def candidate_edges(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_accou
     scoped = () if p.kind in ("exact", "group") else rules.tolerances
     days = max([p.days, *(t.days for t in scoped if t.days is not None)]) if p.kind != "exact" else 0
     width = max([p.amount, *(t.amount for t in scoped if t.amount is not None)]) if p.kind != "exact" else Decimal(0)
-    near = near_join(bank, ledger, keys, [(F.col("b_amount"), F.col("l_amount"), float(width)), (day_number(F.col("b_date")), day_number(F.col("l_date")), days)])
+    near = near_join(bank, ledger, keys, [(F.col("b_amount"), F.col("l_amount"), width), (day_number(F.col("b_date")), day_number(F.col("l_date")), days)])
     near = near.drop("__account")
     own_days, own_width, least, used = F.lit(p.days), F.lit(p.amount).cast("decimal(18,2)"), F.lit(p.similarity), []
     if scoped:
@@ -281,7 +282,7 @@ def best_pairs(edges: DataFrame, members: DataFrame, exact: bool = False) -> Dat
     else:
         node = lambda s, c: F.concat_ws("\u0001", F.lit(s), "run_id", c)
         rest = rest.withColumn("a", node("b", "b_id")).withColumn("b", node("l", "l_id"))
-        grouped = rest.join(connected_components(rest).withColumnRenamed("node", "a"), "a").groupBy("component")
+        grouped = by_component(rest.join(connected_components(rest).withColumnRenamed("node", "a"), "a"))
     solved = stash(single.unionByName(grouped.applyInPandas(_solve, "run_id string, b_id string, l_id string, units long")), "solved")
     before = lambda c, other: F.sum("units").over(W.partitionBy("run_id", c).orderBy(other)) - F.col("units")
     spread = solved.withColumns({"b_off": before("b_id", "l_id"), "l_off": before("l_id", "b_id")})
@@ -301,7 +302,7 @@ def classes(txns: DataFrame, width: Decimal) -> DataFrame:
     """
     ref = F.coalesce(F.col("reference"), F.lit(""))
     silent = (ref == "") | F.upper(ref).rlike(INTERNAL_REFERENCES)
-    cell = F.floor(F.col("amount").cast("double") / max(float(width), 1.0))
+    cell = F.floor(F.col("amount").cast("decimal(24,6)") / F.lit(max(Decimal(width), Decimal(1))))
     speaks = txns.where("side = 'ledger'").where(~silent & (F.length(normal_reference(ref)) >= 4))
     heard = speaks.select("run_id", F.explode(F.array(cell - 1, cell, cell + 1)).alias("__cell")).distinct().withColumn("__heard", F.lit(True))
     rows = txns.withColumn("__cell", cell).join(heard, ["run_id", "__cell"], "left")
@@ -353,7 +354,7 @@ def withheld_pairs(txns: DataFrame, p: Pass, rules: Rules, same_account: DataFra
         bank, ledger = side(txns, "bank", "b"), side(txns, "ledger", "l")
         net = F.bround((F.col("l_amount") * rate), 2)
         days = max(p.days, 3)
-        near = near_join(bank, ledger, ["run_id"], [(F.col("b_amount"), net, 1.0), (day_number(F.col("b_date")), day_number(F.col("l_date")), days)])
+        near = near_join(bank, ledger, ["run_id"], [(F.col("b_amount"), net, 1), (day_number(F.col("b_date")), day_number(F.col("l_date")), days)])
         near = near.where((F.col("b_amount") < 0) == (F.col("l_amount") < 0))
         if same_account is not None:
             near = near.join(same_account, "run_id", "left").where(~F.coalesce("same_account", F.lit(False)) | (F.col("b_account_id") == F.col("l_account_id"))).drop("same_account")
@@ -362,7 +363,7 @@ def withheld_pairs(txns: DataFrame, p: Pass, rules: Rules, same_account: DataFra
         keyed = near.withColumn("a", node("b", "b_id")).withColumn("b", node("l", "l_id"))
         groups = connected_components(keyed)
         chosen = keyed.join(groups.withColumnRenamed("node", "a"), "a").select("component", "run_id", "b_id", "l_id", "b_ord", "l_ord")
-        chosen = chosen.groupBy("component").applyInPandas(_with_ties, "run_id string, b_id string, l_id string")
+        chosen = by_component(chosen).applyInPandas(_with_ties, "run_id string, b_id string, l_id string")
         made = scored(near.join(chosen, ["run_id", "b_id", "l_id"]))
         tax = F.abs(F.col("l_amount") - F.col("b_amount")).cast("decimal(18,2)").cast("string")
         note = F.concat(F.lit(f"Matched net of {rule.rate * 100:.0f}% TDS — split ₹"), tax, F.lit(f" to TDS payable ({rule.rule_id})"))
@@ -382,8 +383,13 @@ def subset_sum(cents: list[int], target: int, most: int) -> list[int] | None:
         return [i for i in range(n) if i != out]
     largest = sorted(range(n), key=lambda i: -abs(cents[i]))[: 2 * max(most, 2)]
     way: dict[int, tuple[int, ...]] = {0: ()}
+    one_sign = min(cents) >= 0 or max(cents) <= 0
+    ahead = sum(cents[i] for i in largest)
     for i in largest:
         fresh = {}
+        if one_sign:  # what all that is left cannot bring to the target leads nowhere
+            way = {reached: used for reached, used in way.items() if abs(reached + ahead) >= abs(target)}
+        ahead -= cents[i]
         for reached, used in way.items():
             there = reached + cents[i]
             within = there <= target if target >= 0 else there >= target
@@ -430,11 +436,14 @@ def group_pairs(txns: DataFrame, p: Pass, same_account: DataFrame | None = None)
     made = None
     for one, many in (("bank", "ledger"), ("ledger", "bank")):
         a, b = side(txns, one, "s"), side(txns, many, "m")
-        near = near_join(a.withColumn("s_sign", F.col("s_amount") < 0), b.withColumn("m_sign", F.col("m_amount") < 0), ["run_id"], [(day_number(F.col("s_date")), day_number(F.col("m_date")), p.days)])
-        near = near.where((F.col("s_sign") == F.col("m_sign")) & (F.abs("m_amount") < F.abs("s_amount")))
+        a, b = a.withColumn("sign", F.col("s_amount") < 0), b.withColumn("sign", F.col("m_amount") < 0)
+        days = (day_number(F.col("s_date")), day_number(F.col("m_date")), p.days)
+        # which names meet at all, and which of them are similar; then rows meet only within those
+        met = near_join(a.select("run_id", "sign", "s_date", "s_vendor").distinct(), b.select("run_id", "sign", "m_date", "m_vendor").distinct(), ["run_id", "sign"], [days])
+        names = with_similarity(met.select("s_vendor", "m_vendor").distinct(), "m_vendor", "s_vendor").where("similarity >= 0.6").select("s_vendor", "m_vendor")
+        near = near_join(a.join(stash(names, "group-names"), "s_vendor"), b, ["run_id", "sign", "m_vendor"], [days]).where(F.abs("m_amount") < F.abs("s_amount")).drop("sign")
         if same_account is not None:
             near = near.join(same_account, "run_id", "left").where(~F.coalesce("same_account", F.lit(False)) | (F.col("s_account_id") == F.col("m_account_id"))).drop("same_account")
-        near = with_similarity(near, "m_vendor", "s_vendor").where("similarity >= 0.6").drop("similarity")
         several = F.count(F.lit(1)).over(W.partitionBy("run_id", "s_id", "m_vendor")) >= 2
         enough = F.sum(F.abs("m_amount")).over(W.partitionBy("run_id", "s_id", "m_vendor")) >= F.abs("s_amount")
         near = near.withColumn("several", several & enough).where("several")
@@ -452,10 +461,11 @@ def group_pairs(txns: DataFrame, p: Pass, same_account: DataFrame | None = None)
         node = lambda s, c: F.concat_ws("\u0001", F.lit(s), "run_id", c)
         keyed = rest.withColumn("a", node("s", "s_id")).withColumn("b", node("m", "m_id"))
         groups = connected_components(keyed)
-        found = keyed.join(groups.withColumnRenamed("node", "a"), "a").drop("a", "b").groupBy("component").applyInPandas(_group_solver(p.max_group), "run_id string, s_id string, m_ids array<string>")
+        found = by_component(keyed.join(groups.withColumnRenamed("node", "a"), "a").drop("a", "b")).applyInPandas(_group_solver(p.max_group), "run_id string, s_id string, m_ids array<string>")
         found = found.unionByName(sums.where("plain").select("run_id", "s_id", "m_ids"))
         bank_ids, ledger_ids = ((F.array("s_id"), F.col("m_ids")) if one == "bank" else (F.col("m_ids"), F.array("s_id")))
-        pairs = found.select("run_id", bank_ids.alias("bank_ids"), ledger_ids.alias("ledger_ids"))
+        # scores read the pairs several times; the solver must run once
+        pairs = stash(found.select("run_id", bank_ids.alias("bank_ids"), ledger_ids.alias("ledger_ids")), "groups")
         pairs = stash(score_groups(pairs, txns, p.name), "group-pairs")
         txns = without_matched(txns, pairs)
         made = pairs if made is None else made.unionByName(pairs)

@@ -42,16 +42,22 @@ def rare_characters(name: Column, least: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(pieces, keys)))
 
 
+def similar_pairs(names: DataFrame, masters: DataFrame, least: float) -> DataFrame:
+    """(vendor, master, similarity) of distinct names in the first columns that reach ``least``; names that share no rare
+    character are not compared."""
+    left = names.toDF("vendor").distinct().withColumn("key", F.explode(rare_characters(F.col("vendor"), least)))
+    right = masters.toDF("master").distinct().withColumn("key", F.explode(rare_characters(F.col("master"), least)))
+    pairs = left.join(right, "key").select("vendor", "master").distinct()
+    return pairs.withColumn("similarity", vendor_similarity_udf("vendor", "master")).where(F.col("similarity") >= least)
+
+
 def similar_names(names: DataFrame, master: DataFrame, least: float) -> DataFrame:
     """(run_id, vendor, master, similarity) of names of a run that reach ``least`` with a master name of the run.
 
-    ``names`` has (run_id, vendor), ``master`` (run_id, master). Each distinct pair of names that share a rare
-    character is compared once, whatever number of runs it occurs in.
+    ``names`` has (run_id, vendor), ``master`` (run_id, master). Each distinct pair of names is compared once, whatever
+    number of runs it occurs in.
     """
-    left = names.select("vendor").distinct().withColumn("key", F.explode(rare_characters(F.col("vendor"), least)))
-    right = master.select("master").distinct().withColumn("key", F.explode(rare_characters(F.col("master"), least)))
-    pairs = left.join(right, "key").select("vendor", "master").distinct()
-    near = pairs.withColumn("similarity", vendor_similarity_udf("vendor", "master")).where(F.col("similarity") >= least)
+    near = similar_pairs(names.select("vendor"), master.select("master"), least)
     return names.select("run_id", "vendor").distinct().join(near, "vendor").join(master.select("run_id", "master").distinct(), ["run_id", "master"])
 
 

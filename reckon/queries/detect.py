@@ -31,8 +31,8 @@ _HIST = "h AS (SELECT r.run_id, x.side, x.vendor, x.date, x.amount FROM i x JOIN
 
 @query(f", {_HIST} SELECT run_id, side, vendor, count(*) AS n, min(date) AS first_seen FROM h GROUP BY run_id, side, vendor")
 def dt0_history(spark, d):
-    h = D.earlier_rows(fixture.inside(spark, d), fixture.runs(spark, d))
-    return h.groupBy("run_id", "side", "vendor").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_seen"))
+    runs = fixture.runs(spark, d)
+    return D.run_history(D.finished_rows(fixture.txns(spark, d), runs), runs)
 
 
 @query(""", c AS (SELECT t.run_id, t.id, o.id AS o_id, row_number() OVER (PARTITION BY t.run_id, t.id ORDER BY o.ord, o.id) AS n FROM u t JOIN i o ON o.run_id = t.run_id AND o.side = t.side AND o.amount = t.amount

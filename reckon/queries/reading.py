@@ -185,7 +185,7 @@ def lk2_find_duplicates(spark, d):
 @query(f""", {_HIST}, g AS (SELECT run_id, side, vendor, count(*) AS n, list_sort(list(abs(amount)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM h GROUP BY ALL) SELECT u.run_id, u.id, coalesce(g.n, 0) AS n, g.median FROM u LEFT JOIN g ON g.run_id = u.run_id AND g.side = u.side AND g.vendor = u.vendor""")
 def lk3_vendor_summary(spark, d):
     case = State(spark, d).case
-    return L.vendor_summary(case.unmatched, case.history, D.known_vendors(case)).select("run_id", "id", "n", "median")
+    return L.vendor_summary(case.unmatched, case.past, case.runs, D.known_vendors(case, case.unmatched)).select("run_id", "id", "n", "median")
 
 
 @query("SELECT t.run_id, t.id, CAST(last_day(t.date) - t.date AS BIGINT) AS days_before_end, o.id AS o_id, CAST(o.date - last_day(t.date) AS BIGINT) AS days_after_end FROM u t JOIN txns o ON o.external AND o.run_id = t.run_id AND o.side <> t.side AND o.amount = t.amount AND o.date - last_day(t.date) BETWEEN 1 AND 10")

@@ -35,12 +35,12 @@ class State:
         self.unmatched = stash(M.without_matched(self.txns, self.pairs), "state-unmatched")
 
     @property
-    def history(self):
-        return D.earlier_rows(self.txns.withColumn("external", F.lit(False)), self.runs)
+    def past(self):
+        return D.finished_rows(self.txns.withColumn("external", F.lit(False)), self.runs)
 
     @property
     def case(self):
-        return D.Case(self.txns, self.unmatched, self.external, self.history, self.runs)
+        return D.Case(self.txns, self.unmatched, self.external, self.past, self.runs)
 
     @property
     def findings(self):
