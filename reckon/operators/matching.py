@@ -9,6 +9,7 @@ component at a time.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,10 @@ TXN = ["id", "date", "amount", "vendor", "narration", "reference", "account_id",
 PAIR = "run_id string, bank_ids array<string>, ledger_ids array<string>, pass_name string, amount_part double, date_part double, vendor_part double, reference_part double, score double, note string"
 
 
+#: The most days that a proposed tolerance of one vendor can have.
+WIDEST = 11
+
+
 def side(txns: DataFrame, name: str, prefix: str) -> DataFrame:
     """One side of the transactions, its columns prefixed."""
     return txns.where(F.col("side") == name).select("run_id", *[F.col(c).alias(f"{prefix}_{c}") for c in TXN])
@@ -109,12 +114,13 @@ def _scope_hits(txns: DataFrame, rules: Rules) -> DataFrame:
     return pairs.where("s >= 0.85").groupBy("vendor").agg(F.collect_set("r.i").alias("rules"))
 
 
-def candidate_edges(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_account: DataFrame | None = None) -> DataFrame:
+def candidate_edges(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_account: DataFrame | None = None, widened: DataFrame | None = None) -> DataFrame:
     """Scored edges of a one-to-one pass between the unmatched rows ``txns``.
 
     ``same_account`` holds (run_id, same_account); where that is true a ledger row meets only bank rows of its
     own account. Scoped tolerances widen the bounds of the edges they apply to, and ``used`` names those that
-    changed something; the join is made at the widest bounds and every edge is then checked at its own.
+    changed something; the join is made at the widest bounds and every edge is then checked at its own. ``widened``
+    (run_id, scope, days; one row a run, at most ``WIDEST`` days) gives runs a tolerance of days for one vendor each.
     """
     bank, ledger = side(txns, "bank", "b"), side(txns, "ledger", "l")
     keys = ["run_id"]
@@ -126,6 +132,8 @@ def candidate_edges(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_accou
     scoped = () if p.kind in ("exact", "group") else rules.tolerances
     days = max([p.days, *(t.days for t in scoped if t.days is not None)]) if p.kind != "exact" else 0
     width = max([p.amount, *(t.amount for t in scoped if t.amount is not None)]) if p.kind != "exact" else Decimal(0)
+    if widened is not None:
+        days = max(days, WIDEST)
     near = near_join(bank, ledger, keys, [(F.col("b_amount"), F.col("l_amount"), width), (day_number(F.col("b_date")), day_number(F.col("l_date")), days)])
     near = near.drop("__account")
     own_days, own_width, least, used = F.lit(p.days), F.lit(p.amount).cast("decimal(18,2)"), F.lit(p.similarity), []
@@ -150,6 +158,11 @@ def candidate_edges(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_accou
             own_width = own_width if t.amount is None else F.when(wider_width, F.lit(t.amount).cast("decimal(18,2)")).otherwise(own_width)
             least = least if t.similarity is None else F.when(lower, t.similarity).otherwise(least)
         near = near.where((F.abs(F.datediff("b_date", "l_date")) <= own_days) & (F.abs(F.col("b_amount") - F.col("l_amount")) <= own_width))
+    if widened is not None:
+        near = near.join(widened.select("run_id", "scope", F.col("days").alias("scope_days")), "run_id", "left")
+        hit = F.coalesce(F.greatest(vendor_similarity_udf("scope", "b_vendor"), vendor_similarity_udf("scope", "l_vendor")) >= 0.85, F.lit(False))
+        lag = F.abs(F.datediff("b_date", "l_date"))
+        near = near.where((lag <= own_days) | (hit & (lag <= F.col("scope_days")))).drop("scope", "scope_days")
     near = near.withColumn("used", F.array_compact(F.array(*used)) if used else F.array().cast("array<string>")).withColumn("least", least)
     near = with_similarity(near.drop("b_rules", "l_rules"), "b_vendor", "l_vendor")
     near = near.withColumn("evidence", reference_evidence(F.col("b_narration"), F.col("b_reference"), F.col("l_reference")))
@@ -321,11 +334,11 @@ def pairs_of(chosen: DataFrame, name: str) -> DataFrame:
     )
 
 
-def one_to_one(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_account: DataFrame | None = None) -> DataFrame:
+def one_to_one(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_account: DataFrame | None = None, widened: DataFrame | None = None) -> DataFrame:
     """Pairs that a pass of kind exact, date, fuzzy or relaxed makes among unmatched rows."""
     members = stash(classes(txns, max([p.amount, *(t.amount for t in rules.tolerances if t.amount is not None)])), "classes")
     firsts = txns.join(members.where("nth = 1").select("run_id", "side", "id"), ["run_id", "side", "id"], "left_semi")
-    return pairs_of(best_pairs(candidate_edges(firsts, p, rules, same_account), members, p.kind == "exact"), p.name)
+    return pairs_of(best_pairs(candidate_edges(firsts, p, rules, same_account, widened), members, p.kind == "exact"), p.name)
 
 
 def without_matched(txns: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -506,3 +519,18 @@ def reconcile(txns: DataFrame, passes: tuple[Pass, ...], rules: Rules = Rules(),
             left = without_matched(left, part)
         left = stash(left, "open-rows")
     return made
+
+
+def rule_hits(pairs: DataFrame, held: DataFrame | None = None, pass_rules: dict[str, str] | None = None, aliased: DataFrame | None = None, classified: DataFrame | None = None) -> DataFrame:
+    """(run_id, rule_id, hits): pairs that a tolerance or tax brought about and pairs of a pass that a rule has changed, rows
+    held, rows renamed by an alias (``alias_rule``) and rows classified (``class_rule``)."""
+    parts = [pairs.select("run_id", F.explode("used").alias("rule_id"))]
+    if pass_rules:
+        of_pass = F.create_map(*[F.lit(x) for kv in pass_rules.items() for x in kv])
+        parts.append(pairs.select("run_id", F.try_element_at(of_pass, F.col("pass_name")).alias("rule_id")))
+    if held is not None:
+        parts.append(held.select("run_id", "rule_id"))
+    for rows, rule in ((aliased, "alias_rule"), (classified, "class_rule")):
+        if rows is not None:
+            parts.append(rows.select("run_id", F.col(rule).alias("rule_id")))
+    return reduce(DataFrame.unionByName, parts).where("rule_id is not null").groupBy("run_id", "rule_id").agg(F.count(F.lit(1)).alias("hits"))

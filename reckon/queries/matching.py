@@ -85,18 +85,43 @@ def mt5_tolerance_match(spark, d):
     return _flat(M.one_to_one(fixture.inside(spark, d), DATE))
 
 
+_TENTH = _IN.replace("b AS (SELECT * FROM", "b AS (SELECT * REPLACE (CAST(amount - CASE WHEN orderkey % 9 = 0 THEN 0.40 ELSE 0 END AS DECIMAL(18,2)) AS amount) FROM")
+
+
+@query(f"WITH {_TENTH}, {_edges(3, '0.10')} SELECT run_id, b_id AS bank_ids, l_id AS ledger_ids, '{P2}' AS pass_name, round(score, 3) AS score FROM p WHERE n = 1")
+def mt5_tenth_tolerance(spark, d):
+    """A tolerance that doubles cannot hold, where many amounts differ by just as much."""
+    off = F.when((F.col("side") == "bank") & (F.col("orderkey") % 9 == 0), F.lit(Decimal("0.40"))).otherwise(F.lit(Decimal("0.00")))
+    t = fixture.inside(spark, d)
+    return _flat(M.one_to_one(t.withColumn("amount", (F.col("amount") - off).cast("decimal(18,2)")), Pass(P2, "date", 3, Decimal("0.10"), 0.85)))
+
+
 @query(f"WITH {_IN}, {_edges(3, '1.00')} SELECT run_id, b_id AS bank_ids, l_id AS ledger_ids, '{P3}' AS pass_name, round(score, 3) AS score FROM p WHERE n = 1")
 def mt6_fuzzy_match(spark, d):
     return _flat(M.one_to_one(fixture.inside(spark, d), FUZZY))
 
 
-@query(f"""WITH {_IN}, {_edges(3, "CASE WHEN b.account_id = 'acc1' THEN 2.00 ELSE 0.20 END").replace("abs(b.date - l.date) <= 3", f"abs(b.date - l.date) <= CASE WHEN b.vendor = '{VENDORS[0]}' THEN 6 ELSE 1 END")}
+_SCOPED = f"""WITH {_IN}, {_edges(3, "CASE WHEN b.account_id = 'acc1' THEN 2.00 ELSE 0.20 END").replace("abs(b.date - l.date) <= 3", f"abs(b.date - l.date) <= CASE WHEN b.vendor = '{VENDORS[0]}' THEN 6 ELSE 1 END")}"""
+
+
+@query(f"""{_SCOPED}
 SELECT run_id, b_id AS bank_ids, l_id AS ledger_ids, '{P5}' AS pass_name, round(score, 3) AS score FROM p WHERE n = 1""")
 def mt7_scoped_tolerances(spark, d):
     p = Pass(P5, "relaxed", 1, Decimal("0.20"), 0.85)
     return _flat(M.one_to_one(fixture.inside(spark, d), p, Rules(tolerances=RULES.tolerances)))
 
 
+@query(f"""{_SCOPED}, m AS (SELECT p.run_id, b.vendor, b.account_id FROM p JOIN b ON b.run_id = p.run_id AND b.id = p.b_id WHERE n = 1)
+SELECT run_id, rule_id, count(*) AS hits FROM (SELECT run_id, 'R-1' AS rule_id FROM m WHERE vendor = '{VENDORS[0]}' UNION ALL SELECT run_id, 'R-2' FROM m WHERE account_id = 'acc1' UNION ALL SELECT run_id, 'R-9' FROM m
+ UNION ALL SELECT run_id, 'R-3' FROM b WHERE channel = 'RTGS' AND isodow(date) = 7 UNION ALL SELECT run_id, 'R-7' FROM b WHERE vendor = '{VENDORS[1]}') GROUP BY run_id, rule_id""")
+def mt7_mt15_rule_hits(spark, d):
+    """Hits of tolerances, of a changed pass, of a hold and of an alias."""
+    t = fixture.inside(spark, d)
+    pairs = stash(M.one_to_one(t, Pass(P5, "relaxed", 1, Decimal("0.20"), 0.85), Rules(tolerances=RULES.tolerances)), "scoped-pairs")
+    aliased = V.alias_hits(t.where("side = 'bank'"), [("R-7", "Zumba Works", [VENDORS[1].upper()])])
+    return M.rule_hits(pairs, M.held_rows(t, RULES), {P5: "R-9"}, aliased)
+
+
 @query(f"WITH {_IN}, {_edges(3, '1.00 AND b.account_id = l.account_id')} SELECT run_id, b_id AS bank_ids, l_id AS ledger_ids, '{P2}' AS pass_name, round(score, 3) AS score FROM p WHERE n = 1")
 def mt8_same_account(spark, d):
     flags = fixture.runs(spark, d).select("run_id", F.lit(True).alias("same_account"))
@@ -153,7 +178,9 @@ def mt13_all_passes(spark, d):
     return _flat(all_pairs(spark, d))
 
 
-@query()
+@query(f"""WITH {_IN.replace("b AS (", "b0 AS (").replace("l AS (", "l0 AS (")}, {_edges(0, '0').replace(" b JOIN l ", " b0 b JOIN l0 l ").replace("e AS (", "e0 AS (").replace("FROM e)", "FROM e0)").replace("s AS (SELECT", "s0 AS (SELECT").replace("FROM s)", "FROM s0)").replace("p AS (", "p0 AS (")},
+b AS (SELECT * FROM b0 WHERE NOT EXISTS (SELECT 1 FROM p0 WHERE p0.run_id = b0.run_id AND p0.b_id = b0.id AND n = 1)), l AS (SELECT * FROM l0 WHERE NOT EXISTS (SELECT 1 FROM p0 WHERE p0.run_id = l0.run_id AND p0.l_id = l0.id AND n = 1)),
+{_edges(5, '5.00')} SELECT run_id, b_id AS bank_ids, l_id AS ledger_ids, '{P5}' AS pass_name, round(score, 3) AS score FROM p WHERE n = 1""")
 def mt14_relaxed_rerun(spark, d):
     t = fixture.inside(spark, d)
     first = stash(M.one_to_one(t, EXACT), "first-pass")

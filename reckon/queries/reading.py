@@ -16,6 +16,7 @@ from reckon.operators import reports as P
 from reckon.operators import views as V
 from reckon.plans.config import Pass, Rules, Tolerance
 from reckon.queries.detect import _HIST
+from reckon.queries.matching import _PARTS, _edges
 from reckon.queries.state import SQL, State
 from reckon.sources import files, fixture
 from reckon.sources.fixture import VENDORS
@@ -271,10 +272,11 @@ def da8_verify_chain(spark, d):
     return A.verify_chain(log.withColumn("action", F.when(spoilt, "forged").otherwise(F.col("action"))), "run_id")
 
 
-@query()
+@query(""", n AS (SELECT m.run_id, l2.vendor, upper(b2.vendor) AS name, count(*) AS n FROM m JOIN i b2 ON b2.run_id = m.run_id AND b2.id = m.b_id JOIN i l2 ON l2.run_id = m.run_id AND l2.id = m.l_id GROUP BY ALL)
+SELECT run_id, vendor, name AS aliases, n AS supporting FROM n WHERE n >= 2""")
 def rm1_alias_proposals(spark, d):
     s = State(spark, d)
-    return R.alias_proposals(s.pairs.withColumn("pass_name", F.lit(R.P3)), s.txns)
+    return R.alias_proposals(s.pairs.withColumn("pass_name", F.lit(R.P3)), s.txns).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query(""", c AS (SELECT t.run_id, o.vendor, abs(o.date - t.date) AS lag, row_number() OVER (PARTITION BY t.run_id, t.id ORDER BY o.ord, o.id) AS n FROM w t JOIN v o ON o.run_id = t.run_id AND o.side = 'ledger' AND t.side = 'bank' AND o.amount = t.amount AND o.vendor = t.vendor AND abs(o.date - t.date) BETWEEN 4 AND 10)
@@ -282,7 +284,7 @@ SELECT run_id, vendor, CAST(max(lag) + 1 AS BIGINT) AS days, count(*) AS support
 def rm2_date_proposals(spark, d):
     t = fixture.inside(spark, d)
     late = t.withColumn("date", F.when(F.col("side") == "bank", F.date_add("date", 3)).otherwise(F.col("date")))
-    return R.date_proposals(late).withColumn("days", F.col("days").cast("long"))
+    return R.date_proposals(late).withColumn("days", F.col("days").cast("long")).drop("gained")
 
 
 @query("SELECT run_id, count(*) AS supporting FROM i WHERE side = 'bank' AND amount < 0 AND CAST(amount / 100 AS DECIMAL(18,2)) >= -2000 AND vendor = 'kofi' GROUP BY run_id HAVING count(*) >= 2")
@@ -298,7 +300,7 @@ def rm4_tax_proposals(spark, d):
     return R.tax_proposals(fixture.inside(spark, d))
 
 
-@query()
+@query(f", {_edges(1, '1.00').replace('e AS (', 'e1 AS (').replace('FROM e)', 'FROM e1)').replace('s AS (SELECT', 's1 AS (SELECT').replace('FROM s)', 'FROM s1)').replace('p AS (', 'p1 AS (')}, {_edges(3, '1.00').replace('abs(b.date - l.date) <= 3', f"abs(b.date - l.date) <= CASE WHEN b.vendor = '{VENDORS[0]}' THEN 3 ELSE 1 END").replace('e AS (', 'e2 AS (').replace('FROM e)', 'FROM e2)').replace('s AS (SELECT', 's2 AS (SELECT').replace('FROM s)', 'FROM s2)').replace('p AS (', 'p2 AS (')} SELECT run_id, b_id AS bank_ids, l_id AS ledger_ids FROM p2 WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM p1 WHERE p1.run_id = p2.run_id AND p1.b_id = p2.b_id AND p1.l_id = p2.l_id AND p1.n = 1)")
 def rm5_replay(spark, d):
     t = fixture.inside(spark, d)
     p = Pass("P2 · Date ±3d", "date", 1, Decimal("1.00"), 0.85)
@@ -366,6 +368,52 @@ def io5_csv_lines(spark, d):
     return P.csv_line(s.pairs.select(F.get("bank_ids", F.lit(0)).alias("bank"), F.get("ledger_ids", F.lit(0)).alias("ledger")))
 
 
+_ASKED = "SELECT b.run_id, b.id AS b_id, k.id AS l_id, b.orderkey FROM u b JOIN u k ON k.run_id = b.run_id AND k.orderkey = b.orderkey AND b.side = 'bank' AND k.side = 'ledger' AND b.ord % 10 = 0"
+
+
+def _asked(s):
+    b = s.unmatched.where("side = 'bank' and ord % 10 = 0").select("run_id", "orderkey", F.col("id").alias("b"))
+    return b.join(s.unmatched.where("side = 'ledger'").select("run_id", "orderkey", F.col("id").alias("l")), ["run_id", "orderkey"]).select("run_id", F.array("b").alias("bank_ids"), F.array("l").alias("ledger_ids"), "orderkey")
+
+
+@query(f""", q AS ({_ASKED}), e2 AS (SELECT q.run_id, b.id AS b_id, l.id AS l_id, q.orderkey, {_PARTS} FROM q JOIN b ON b.run_id = q.run_id AND b.id = q.b_id JOIN l ON l.run_id = q.run_id AND l.id = q.l_id)
+SELECT run_id, b_id AS bank_ids, l_id AS ledger_ids, round(least(1.0, floor((amount_part + date_part + vendor_part + reference_part) * 1000 + 0.5) / 1000), 3) AS score, 'manual' AS status FROM e2 WHERE orderkey % 4 <> 1""")
+def mt16_mt17_accepted(spark, d):
+    """Open bank rows matched by hand with the open ledger row of their order; some pairs are taken apart again."""
+    s = State(spark, d)
+    asked = _asked(s)
+    made, _ = X.manual_match(asked.drop("orderkey"), s.txns, s.pairs)
+    made = made.withColumn("pair_id", F.get("bank_ids", F.lit(0)))
+    left = X.unmatch(made, asked.where("orderkey % 4 = 1").select("run_id", F.get("bank_ids", F.lit(0)).alias("pair_id")))
+    return left.select("run_id", F.array_join("bank_ids", ",").alias("bank_ids"), F.array_join("ledger_ids", ",").alias("ledger_ids"), F.round("score", 3).alias("score"), "status")
+
+
+@query(f""", q AS ({_ASKED}) SELECT run_id, finding_id, CASE WHEN status IN ('open', 'in_review', 'escalated') AND EXISTS (SELECT 1 FROM q WHERE q.run_id = f.run_id AND f.id IN (q.b_id, q.l_id)) THEN 'auto_resolved' ELSE status END AS status FROM f""")
+def mt14_settled_findings(spark, d):
+    """Open findings of rows that new pairs hold are settled."""
+    s = State(spark, d)
+    pairs = _asked(s).select("run_id", F.get("bank_ids", F.lit(0)).alias("pair_id"), "bank_ids", "ledger_ids", F.lit("P5").alias("pass_name"), F.lit(0.5).alias("score"), F.lit("auto").alias("status"))
+    return X.settle_touched(s.findings, pairs, "auto_resolved").select("run_id", "finding_id", "status")
+
+
+@query(f"{_STATS} SELECT period, run_id, auto_match_rate, matched, n_timing FROM st")
+def v8_trend(spark, d):
+    """The last run of each period with its rate and categories; the fixture has one run a period."""
+    return V.trend_by_period(_stats(State(spark, d))).select("period", "run_id", "auto_match_rate", "matched", "n_timing")
+
+
+@query("SELECT run_id, finding_id, round(risk_score * log10(greatest(10, CAST(round(abs(amount), 0) AS BIGINT))), 6) AS priority FROM f WHERE status IN ('open', 'in_review', 'escalated') ORDER BY risk_score * log10(greatest(10, CAST(round(abs(amount), 0) AS BIGINT))) DESC, run_id, finding_id LIMIT 5")
+def v8_attention(spark, d):
+    s = State(spark, d)
+    return V.attention(s.findings, s.txns).withColumn("priority", F.round("priority", 6))
+
+
+@query("SELECT run_id, count(*) FILTER (WHERE status IN ('open', 'in_review', 'escalated')) AS open, count(*) FILTER (WHERE status IN ('open', 'in_review', 'escalated') AND category = 'potential_fraud') AS fraud, count(*) FILTER (WHERE status = 'escalated') AS escalated, count(*) FILTER (WHERE status NOT IN ('open', 'in_review', 'escalated')) AS done FROM f WHERE routing = 'human_review' GROUP BY run_id")
+def v7_queue_tabs(spark, d):
+    s = State(spark, d)
+    return V.queue_tabs(V.review_queue(s.findings, s.txns, F.lit("2003-01-01").cast("timestamp")))
+
+
 @query("SELECT run_id, id AS bank_id, count(*) OVER (PARTITION BY run_id) AS n FROM u WHERE side = 'bank' AND ord % 3 = 0")
 def mt16_mt17_manual_match(spark, d):
     """Open bank rows are matched by hand with one open ledger row each where there is one, and unmatched again."""

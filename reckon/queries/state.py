@@ -57,7 +57,9 @@ class State:
 
 
 def flat(signals):
-    return signals.select("run_id", "id", F.round("raw", 6).alias("raw"), F.array_join("evidence", ",").alias("evidence"))
+    """Signals with their evidence and details as text, details by key."""
+    details = F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return signals.select("run_id", "id", F.round("raw", 6).alias("raw"), F.array_join("evidence", ",").alias("evidence"), F.array_join(details, ";").alias("details"), "text")
 
 
 __all__ = ["SQL", "G", "State", "flat"]
