@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,21 +47,27 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), default=str)
 
 
-def _link(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("seq", kind="stable").reset_index(drop=True)
-    prev, hashes, before = GENESIS, [], []
-    for text in frame["payload"]:
-        before.append(prev)
-        prev = hashlib.sha256((prev + text).encode()).hexdigest()
-        hashes.append(prev)
-    return frame[["chain", "seq"]].assign(prev_hash=before, hash=hashes)
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by chain and seq to their hashes; only the last hash is carried from one to the next."""
+    now, prev = object(), GENESIS
+    for batch in batches:
+        before, hashes = [], []
+        for chain, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            if chain != now:
+                now, prev = chain, GENESIS
+            before.append(prev)
+            prev = hashlib.sha256((prev + text).encode()).hexdigest()
+            hashes.append(prev)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=["chain", "seq", "prev_hash", "hash"])
 
 
 def build_chain(log: DataFrame, chain: str) -> DataFrame:
-    """Add prev_hash and hash to the entries of each chain, in the order of seq. A chain is serial by nature: each
-    chain key is one task's work, on sequence numbers and payloads only."""
-    rows = log.select(F.col(chain).cast("string").alias("chain"), "seq", payload().alias("payload"))
-    linked = rows.groupBy("chain").applyInPandas(_link, "chain string, seq long, prev_hash string, hash string")
+    """Add prev_hash and hash to the entries of each chain, in the order of seq. A chain is serial by nature: its payloads
+    stream through one task, sorted by Spark, whatever its length."""
+    rows = log.select(F.col(chain).cast("string").alias("chain"), F.col("seq").cast("long").alias("seq"), payload().alias("payload"))
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, "chain").sortWithinPartitions("chain", "seq")
+    linked = ordered.mapInArrow(_link, "chain string, seq long, prev_hash string, hash string")
     return log.withColumn("chain", F.col(chain).cast("string")).join(linked, ["chain", "seq"]).drop("chain")
 
 

@@ -6,12 +6,17 @@ Pairs are (run_id, pair_id, bank_ids, ledger_ids, pass_name, score, status, vend
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from reckon.durable import stash
 from reckon.functions.scalars import half_up
 from reckon.functions.similarity import with_similarity
+from reckon.operators.matching import day_number, near_join
 
 CATEGORIES = ("missing", "duplicate", "timing", "potential_fraud", "unknown")
 OPEN = ("open", "in_review", "escalated")
@@ -111,11 +116,25 @@ def _others(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", *[F.col(c).alias(f"o_{c}") for c in ("id", "side", "date", "amount", "vendor", "ord")])
 
 
+def _near(rows: DataFrame, others: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Pairs of equal keys that are at most nine days apart, or whose absolute amounts differ by at most a share.
+
+    Two equi-joins, on buckets of days and of the amounts' logarithms; the second leaves out what the first has.
+    """
+    close = near_join(rows, others, keys, [(day_number(F.col("date")), day_number(F.col("o_date")), 9)])
+    width = -math.log(1 - share) * (1 + 1e-9)
+    bucket = lambda c: F.when(F.col(c) == 0, F.lit(-1 << 40)).otherwise(F.floor(F.log(F.abs(c).cast("double")) / width))
+    a = rows.withColumn("__bucket", F.explode(F.sequence(bucket("amount") - 1, bucket("amount") + 1)))
+    alike = F.abs(F.abs("amount") - F.abs("o_amount")) <= F.abs("amount") * F.lit(Decimal(str(share)))
+    far = a.join(others.withColumn("__bucket", bucket("o_amount")), [*keys, "__bucket"]).where((F.abs(F.datediff("date", "o_date")) > 9) & alike)
+    return close.unionByName(far.drop("__bucket"))
+
+
 def evidence(findings: DataFrame, txns: DataFrame, external: DataFrame, pairs: DataFrame) -> DataFrame:
     """Evidence of each finding: cited rows, the three most similar open rows of the other side, three rows of the vendor.
 
-    A similarity of .5 needs more than date and vendor can give, so candidates share the run and the date
-    within ten days or the amount within the run's band; both are covered by a join on bands of amounts.
+    Ten days apart, a similarity of .5 needs a fifth of it from the amount even of equal vendors, so the amounts
+    differ by at most .62 of the first: pairs are looked for within nine days or within that share.
     """
     base = findings.select("run_id", "finding_id", "id", "category", "evidence").join(txns, ["run_id", "id"])
     cited = base.select("run_id", "finding_id", "category", "id", "side", "date", "amount", "vendor", F.posexplode("evidence").alias("at", "o_id"))
@@ -124,7 +143,7 @@ def evidence(findings: DataFrame, txns: DataFrame, external: DataFrame, pairs: D
     relation = F.when(F.col("ext"), "period_boundary").when((F.col("category") == "duplicate") & (F.col("side") == F.col("o_side")), "duplicate").otherwise("candidate")
     cited = cited.select("run_id", "finding_id", "o_id", relation.alias("relation"), "similarity", F.col("at").alias("rank"))
     free = txns.join(pair_rows(pairs).select("run_id", "id").distinct(), ["run_id", "id"], "left_anti")
-    near = base.withColumn("o_side", F.when(F.col("side") == "bank", "ledger").otherwise("bank")).join(_others(free), ["run_id", "o_side"])
+    near = _near(base.withColumn("o_side", F.when(F.col("side") == "bank", "ledger").otherwise("bank")), _others(free), ["run_id", "o_side"], 0.62)
     near = near.join(cited.select("run_id", "finding_id", "o_id"), ["run_id", "finding_id", "o_id"], "left_anti")
     near = _similarity(near).where("similarity >= 0.5")
     top = near.withColumn("rank", F.row_number().over(W.partitionBy("run_id", "finding_id").orderBy(F.desc("similarity"), "o_ord", "o_id"))).where("rank <= 3")
@@ -280,12 +299,16 @@ def search(runs: DataFrame, txns: DataFrame, findings: DataFrame, text: str) ->
 def rank_candidates(rows: DataFrame, pool: DataFrame, top: int = 5) -> DataFrame:
     """The best counterparts of each row in its run: same sign, other side, .5 amount, .2 date, .3 vendor, over .25.
 
-    A score over .25 with a fully different amount needs .2 of date and vendor; the amount term falls to zero
-    beyond a quarter, and then the dates must lie within ten days or vendors be similar, so pairs are formed
-    within a run and sign only, the finest key that keeps all of them.
+    A score over .25 needs dates within nine days, amounts within a quarter, or a vendor similarity of .85: pairs come
+    from a join on each, and the third leaves out what the others have.
     """
     t = rows.select("run_id", "id", "side", "date", "amount", "vendor").withColumn("o_side", F.when(F.col("side") == "bank", "ledger").otherwise("bank")).withColumn("sign", F.col("amount") < 0)
-    near = t.join(_others(pool).withColumn("sign", F.col("o_amount") < 0), ["run_id", "o_side", "sign"])
+    others, keys = _others(pool).withColumn("sign", F.col("o_amount") < 0), ["run_id", "o_side", "sign"]
+    near = _near(t, others, keys, 0.25)
+    met = t.select(*keys, "vendor").distinct().join(others.select(*keys, "o_vendor").distinct(), keys).select("vendor", "o_vendor").distinct()
+    names = stash(with_similarity(met, "vendor", "o_vendor").where("similarity >= 0.85").select("vendor", "o_vendor"), "candidate-names")
+    apart = (F.abs(F.datediff("date", "o_date")) > 9) & (F.abs(F.abs("amount") - F.abs("o_amount")) > F.abs("amount") * F.lit(Decimal("0.25")))
+    near = near.unionByName(t.join(names, "vendor").join(others, [*keys, "o_vendor"]).where(apart))
     near = with_similarity(near, "vendor", "o_vendor", "vendor_similarity")
     x = F.abs("amount")
     share = F.round((F.abs(x - F.abs("o_amount")) / F.when(x != 0, x)).cast("decimal(24,8)"), 4).cast("double")

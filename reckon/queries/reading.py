@@ -17,6 +17,7 @@ from reckon.operators import views as V
 from reckon.plans.config import Pass, Rules, Tolerance
 from reckon.queries.detect import _HIST
 from reckon.queries.matching import _PARTS, _edges
+from reckon.queries.plain import NAMES
 from reckon.queries.state import SQL, State
 from reckon.sources import files, fixture
 from reckon.sources.fixture import VENDORS
@@ -73,7 +74,15 @@ def v4_unmatched_view(spark, d):
     return V.unmatched_view(s.txns, s.pairs, s.findings.where("ord % 4 <> 0")).select("run_id", "id", "finding_id", "risk_score", "category")
 
 
-@query()
+def _alike(sim: str) -> str:
+    share = "CAST(round(CAST(abs(abs(t.amount) - abs(o.amount)) / abs(t.amount) AS DECIMAL(24,8)), 4) AS DOUBLE)"
+    return f"floor((0.5::DOUBLE * greatest(0.0, 1 - {share}) + 0.2::DOUBLE * greatest(0.0, 1 - abs(t.date - o.date) * 0.1) + 0.3::DOUBLE * {sim}) * 100 + 0.5) / 100"
+
+
+@query(f""", k AS (SELECT t.run_id, 'F-' || t.id AS finding_id, o.id AS o_id, o.ord, {_alike("sim")} AS similarity FROM u t JOIN u o ON o.run_id = t.run_id AND o.side <> t.side JOIN {NAMES} ON nm.a = t.vendor AND nm.b = o.vendor),
+w AS (SELECT t.run_id, 'F-' || t.id AS finding_id, o.id AS o_id, {_alike("1")} AS similarity, row_number() OVER (PARTITION BY t.run_id, t.id ORDER BY o.ord, o.id) AS rank FROM u t JOIN i o ON o.run_id = t.run_id AND o.side = t.side AND o.vendor = t.vendor AND o.id <> t.id)
+SELECT run_id, finding_id, o_id, 'candidate' AS relation, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, finding_id ORDER BY similarity DESC, ord, o_id) AS rank FROM k WHERE similarity >= 0.5) WHERE rank <= 3
+UNION ALL SELECT run_id, finding_id, o_id, 'vendor_history', similarity, CAST(rank AS INTEGER) FROM w WHERE rank <= 3""")
 def v5_evidence(spark, d):
     s = State(spark, d)
     return V.evidence(s.findings, s.txns, s.external, s.pairs)
@@ -158,7 +167,10 @@ def v15_search(spark, d):
     return V.search(s.runs, s.txns, s.findings, "KO")
 
 
-@query()
+@query(f""", k AS (SELECT t.run_id, t.id, o.id AS o_id, o.ord AS o_ord, greatest(0.0, 1 - CAST(round(CAST(abs(abs(t.amount) - abs(o.amount)) / abs(t.amount) AS DECIMAL(24,8)), 4) AS DOUBLE) * 4) AS a,
+ greatest(0.0, 1 - abs(t.date - o.date) * 0.1) AS dt, sim FROM u t JOIN u o ON o.run_id = t.run_id AND o.side <> t.side AND (o.amount < 0) = (t.amount < 0) JOIN {NAMES} ON nm.a = t.vendor AND nm.b = o.vendor),
+ g AS (SELECT *, floor((0.5::DOUBLE * a + 0.2::DOUBLE * dt + 0.3::DOUBLE * sim) * 100 + 0.5) / 100 AS score FROM k)
+ SELECT run_id, id, o_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, id ORDER BY score DESC, o_ord, o_id) AS INTEGER) AS rank FROM g WHERE score > 0.25) WHERE rank <= 5""")
 def v16_rank_candidates(spark, d):
     s = State(spark, d)
     return V.rank_candidates(s.unmatched, s.unmatched)
@@ -260,7 +272,10 @@ def _chained(spark, d):
     return A.build_chain(log.withColumn("ts", F.col("ts").cast("string")), "run_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LOG.replace("props AS after", "coalesce(props, 'null') AS after, user_id")}, p AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS seq,
+ '{{"action":"' || action || '","actor":["user","u' || CAST(user_id AS VARCHAR) || '"],"after":' || after || ',"before":null,"id":"' || id || '","ip":null,"modelVersion":null,"runId":"' || run_id || '","target":"' || target || '","ts":"' || CAST(ts AS VARCHAR) || '"}}' AS payload FROM log),
+ c AS (SELECT run_id, seq, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || payload) AS hash FROM p WHERE seq = 1 UNION ALL SELECT p.run_id, p.seq, c.hash, sha256(c.hash || p.payload) FROM c JOIN p ON p.run_id = c.run_id AND p.seq = c.seq + 1)
+ SELECT run_id, seq, prev_hash, hash FROM c""", whole=True)
 def da7_build_chain(spark, d):
     return _chained(spark, d).select("run_id", "seq", "prev_hash", "hash")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reckon.functions import scalars as S
 from reckon.functions.similarity import jaro_winkler_udf, skeleton_column, token_column, vendor_similarity_udf
+from reckon.queries import plain
 from reckon.sources import fixture
 from reckon.sources.fixture import BANK, TXNS
 
@@ -133,6 +134,14 @@ def sc16_sc17_similarity(spark, d):
     return both.select("a", "b", jaro_winkler_udf("a", F.concat("b")).alias("same"), vendor_similarity_udf(F.concat(F.upper("a"), F.lit(" PVT LTD")), "b").alias("similar"))
 
 
+@query(f"SELECT DISTINCT v.vendor AS a, b, jw AS same, sim AS similar FROM ({BANK}) v JOIN {plain.table([(a, c) for a in fixture.VENDORS for b in fixture.VENDORS for c in plain.changed(b)][::3], 'nm(a, b, jw, sim)')} ON nm.a = v.vendor")
+def sc16_sc17_unequal_names(spark, d):
+    """Every vendor of the rows against misspellings of all vendors, every third pair."""
+    wrong = [(a, c) for a in fixture.VENDORS for b in fixture.VENDORS for c in plain.changed(b)][::3]
+    names = spark.createDataFrame(wrong, "a string, b string").join(_bank(spark, d).select(F.col("vendor").alias("a")).distinct(), "a").distinct()
+    return names.select("a", "b", jaro_winkler_udf("a", "b").alias("same"), vendor_similarity_udf(F.concat(F.upper("a"), F.lit(" PVT LTD")), "b").alias("similar"))
+
+
 @query("SELECT l_orderkey AS k, l_linenumber AS n, floor((l_discount - l_tax) * l_extendedprice * 100.0 + 0.5) / 100.0 AS rounded FROM lineitem")
 def sc18_half_up(spark, d):
     rows = fixture.table(spark, d, "lineitem")
