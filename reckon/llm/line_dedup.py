@@ -17,13 +17,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reckon.durable import stash
-from reckon.llm.common import NONSPACE, SLICE_BYTES, cuts, find_words, give_back_memory, hash_words, map_texts, utf8
+from reckon.llm.common import NONSPACE, SLICE_BYTES, find_words, give_back_memory, hash_words, map_texts, utf8
 
 RUN_WORDS = 50
 GRAM_WORDS = 25
@@ -216,14 +217,34 @@ def _prints(run_words: int, gram_words: int):
     return f
 
 
+def _packed(batches):
+    """Rows (id, text_key, text) with the text compressed, as it is about to be shuffled."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = pa.array([packer.compress(t.as_buffer()) for t in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["id", "text_key", "packed"])
+
+
+def _unpacked(packed: pa.Array):
+    """Ranges of rows and their texts, a range holding ``SLICE_BYTES`` of text or little more, or one longer text."""
+    reader = zstandard.ZstdDecompressor()
+    lo, texts, size = 0, [], 0
+    for i, x in enumerate(packed):
+        texts.append(reader.decompress(x.as_buffer()))
+        size += len(texts[-1])
+        if size >= SLICE_BYTES or i + 1 == len(packed):
+            yield lo, i + 1, pa.array(texts, pa.binary()).cast(pa.string())
+            lo, texts, size = i + 1, [], 0
+
+
 def _shared_windows(run_words: int, gram_words: int):
-    """Rows (doc, text, alone) to (doc, windows): the windows whose fingerprint's word is not in ``alone``."""
+    """Rows (doc, packed text, alone) to (doc, windows): the windows whose fingerprint's word is not in ``alone``."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi in cuts(batch.column(1), SLICE_BYTES):
+            for lo, hi, texts in _unpacked(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                data, offsets = utf8(part.column(1))
+                data, offsets = utf8(texts)
                 starts, ends, first = find_words(data, offsets, NONSPACE)
                 start, at, content, _ = winnow(hash_words(data, starts, ends), first, run_words, gram_words)
                 counts = pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy(zero_copy_only=False)
@@ -292,7 +313,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = lone.select(doc_of("least").alias("doc"), word_of("least").alias("at")).groupBy("doc").agg(F.collect_list("at").alias("alone"))
     some = known.where(F.size("prints") > 0).select(F.col("id").alias("id2"), F.col("text_key").alias("key2"), "doc", F.size("prints").alias("n")).distinct()
     some = some.join(alone, "doc", "left").where("alone is null or size(alone) < n")
-    texts = base.join(some, same(base, some)).select("doc", "text", "alone")
+    # a run has a letter or more in each of its words and a space between them; shorter texts need not travel
+    long = base.where(F.length("text") >= 2 * run_words - 1).select("id", "text_key", "text")
+    long = long.mapInArrow(_packed, T.StructType([long.schema["id"], long.schema["text_key"], T.StructField("packed", T.BinaryType())]))
+    texts = long.join(some, same(long, some)).select("doc", "packed", "alone")
     window = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("content", T.LongType())])
     kind = T.StructType([T.StructField("doc", T.LongType()), T.StructField("windows", T.ArrayType(window))])
     windows = stash(texts.mapInArrow(_shared_windows(run_words, gram_words), kind), "shared-windows")

@@ -125,3 +125,13 @@ def test_a_run_goes_to_its_last_word(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.drop_repeated_runs(df).collect()}
     assert got == {1: docs[0][1], 2: f"{line('c', 5)}\n{line('y', 70)}\n"}
+
+
+def test_a_run_that_only_a_later_copy_shares(spark):
+    """Three documents share a gram; only the second and third share the words around it. Extending every place to the
+    first of its fingerprint would stop short and keep the third: windows are compared with all places."""
+    gram = " ".join(f"g{i}" for i in range(30))
+    around = lambda x: f"{' '.join(f'{x}{i}' for i in range(40))} {gram} {' '.join(f'{x}{i}' for i in range(40, 80))}"
+    df = spark.createDataFrame([(1, around("a")), (2, around("b")), (3, around("b"))], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in line_dedup.repeated_spans(df).collect()}
+    assert got == {1: [], 2: [], 3: [(0, 109)]}
