@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from reckon.durable import stash
 from reckon.functions.scalars import display_name, initials, upi_handle
 from reckon.functions.similarity import jaro_winkler, skeleton, token_column, tokens, vendor_similarity_udf
 
@@ -126,8 +127,10 @@ def resolve(rows: DataFrame, master: DataFrame, aliases: list[tuple[str, str, li
     """
     rows = alias_hits(rows, aliases).withColumn("handle", upi_handle(F.col("narration")))
     own = F.col("extracted").contains("—")
-    names = rows.where(~own).select("run_id", F.col("extracted").alias("vendor")).unionByName(rows.where("handle is not null").select("run_id", F.col("handle").alias("vendor"))).distinct()
-    found = master_matches(names, master)
+    asked = F.array(F.when(~own, F.col("extracted")), F.col("handle"))
+    names = rows.select("run_id", F.explode(F.array_compact(asked)).alias("vendor")).distinct()
+    # the few names are written: as columns of the plan, their long expressions would be repeated at every use of a name
+    found = stash(master_matches(stash(names, "names"), stash(master, "masters")), "matched-names")
     by = lambda c, out: found.select("run_id", F.col("vendor").alias(c), F.col("matched").alias(out))
     rows = rows.join(by("extracted", "by_name"), ["run_id", "extracted"], "left").join(by("handle", "by_handle"), ["run_id", "handle"], "left")
     plain = F.when(own, F.col("extracted")).otherwise(display_name(F.col("extracted")))
