@@ -198,11 +198,25 @@ def mt15_pass_counts(spark, d):
     return rows.join(counts, "run_id", "left").fillna(0).select("run_id", "pairs", "matched_bank", "bank_rows")
 
 
-@query(f"""SELECT DISTINCT run_id, vendor AS master FROM ({LEDGER})""")
+@query(f"""WITH runs AS ({fixture.RUNS}), own AS (SELECT run_id, vendor AS master, min(ord) AS first FROM ({LEDGER}) GROUP BY ALL),
+far AS (SELECT DISTINCT r.run_id, o.master FROM runs r JOIN own o ON o.run_id <> r.run_id AND substr(o.run_id, 11, 1) IN ('1', '2')),
+once AS (SELECT run_id, master, min(far) AS far, min(first) AS first FROM (SELECT run_id, master, 0 AS far, first FROM own UNION ALL SELECT run_id, master, 1, NULL FROM far) GROUP BY ALL)
+SELECT run_id, master, CAST(row_number() OVER (PARTITION BY run_id ORDER BY far, first, master) AS INTEGER) AS ord FROM once""")
 def nv1_vendor_master(spark, d):
-    t = fixture.txns(spark, d)
-    runs = fixture.runs(spark, d).withColumn("status", F.lit("failed"))
-    return V.vendor_master(t, runs).select("run_id", "master")
+    """Names of every run in order, where only months that end in 1 or 2 have finished."""
+    runs = fixture.runs(spark, d).withColumn("status", F.when(F.substring("run_id", 11, 1).isin("1", "2"), "completed").otherwise("failed"))
+    return V.vendor_master(fixture.txns(spark, d), runs)
+
+
+@query(f"""WITH l AS (SELECT DISTINCT run_id, vendor FROM ({LEDGER}))
+SELECT run_id, vendor || 's' AS vendor, vendor AS matched FROM l UNION ALL SELECT run_id, substr(vendor, 1, 1) || substr(vendor, 3, 1) || substr(vendor, 2, 1) || substr(vendor, 4), vendor FROM l
+UNION ALL SELECT run_id, reverse(vendor), NULL FROM l""")
+def nv3_near_names(spark, d):
+    """A name with a letter more and one with two letters exchanged find their master, its reverse finds none."""
+    master = fixture.txns(spark, d).where("side = 'ledger'").groupBy("run_id", F.col("vendor").alias("master")).agg(F.min("ord").alias("ord"))
+    part = lambda at, n: F.substring("master", at, n)
+    asked = F.array(F.concat("master", F.lit("s")), F.concat(part(1, 1), part(3, 1), part(2, 1), part(4, 1 << 20)), F.reverse("master"))
+    return V.master_matches(master.select("run_id", F.explode(asked).alias("vendor")), master)
 
 
 @query(f"""SELECT id, CASE WHEN vendor = '{VENDORS[1]}' THEN 'R-7' WHEN vendor = '{VENDORS[2]}' AND channel = 'UPI' THEN 'R-8' END AS alias_rule FROM ({BANK})""")
