@@ -247,11 +247,14 @@ def da3_finalize_gate(spark, d):
     return X.finalize_gate(_stats(s), s.findings)
 
 
-@query("""SELECT m.run_id, m.pair_id AS match_id, CAST(bb.amount AS VARCHAR) AS bank_amount, m.l_id AS ledger_ids, CAST(bb.amount - ll.amount AS VARCHAR) AS difference FROM m JOIN i bb ON bb.run_id = m.run_id AND bb.id = m.b_id JOIN i ll ON ll.run_id = m.run_id AND ll.id = m.l_id
-UNION ALL SELECT u.run_id, '', CASE WHEN side = 'bank' THEN CAST(amount AS VARCHAR) ELSE '' END, CASE WHEN side = 'ledger' THEN id ELSE '' END, '' FROM u""")
+@query("""SELECT m.run_id, m.pair_id AS match_id, 'P2 · Date ±3d' AS pass, CASE WHEN score = 1 THEN '1' ELSE CAST(score AS VARCHAR) END AS confidence, 'auto' AS status, m.b_id AS bank_ids, CAST(bb.date AS VARCHAR) AS bank_date, bb.narration AS bank_description, CAST(bb.amount AS VARCHAR) AS bank_amount,
+ m.l_id AS ledger_ids, CAST(ll.date AS VARCHAR) AS ledger_date, ll.vendor AS ledger_vendor, '' AS gl_code, CAST(ll.amount AS VARCHAR) AS ledger_amount, CAST(bb.amount - ll.amount AS VARCHAR) AS difference FROM m JOIN i bb ON bb.run_id = m.run_id AND bb.id = m.b_id JOIN i ll ON ll.run_id = m.run_id AND ll.id = m.l_id
+UNION ALL SELECT u.run_id, '', 'UNMATCHED', '', coalesce(f.human_category, f.category), CASE WHEN u.side = 'bank' THEN u.id ELSE '' END, CASE WHEN u.side = 'bank' THEN CAST(u.date AS VARCHAR) ELSE '' END, CASE WHEN u.side = 'bank' THEN u.narration ELSE '' END, CASE WHEN u.side = 'bank' THEN CAST(u.amount AS VARCHAR) ELSE '' END,
+ CASE WHEN u.side = 'ledger' THEN u.id ELSE '' END, CASE WHEN u.side = 'ledger' THEN CAST(u.date AS VARCHAR) ELSE '' END, CASE WHEN u.side = 'ledger' THEN u.vendor ELSE '' END, '', CASE WHEN u.side = 'ledger' THEN CAST(u.amount AS VARCHAR) ELSE '' END, '' FROM u JOIN f ON f.run_id = u.run_id AND f.id = u.id""")
 def da4_reconciled_ledger(spark, d):
+    """All columns of the reconciled ledger."""
     s = State(spark, d)
-    return P.reconciled_ledger(s.txns, s.pairs, s.findings).select("run_id", "match_id", "bank_amount", "ledger_ids", "difference")
+    return P.reconciled_ledger(s.txns, s.pairs, s.findings)
 
 
 @query("SELECT run_id, finding_id, id AS txn_id, CAST(amount AS VARCHAR) AS amount, coalesce(human_category, category) AS category, CASE WHEN risk_score = floor(risk_score) THEN CAST(CAST(risk_score AS BIGINT) AS VARCHAR) ELSE CAST(risk_score AS VARCHAR) END AS risk, status FROM f WHERE status IN ('open', 'in_review', 'escalated')")
