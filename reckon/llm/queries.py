@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckon.llm import decontam, flac, html_extract, language, line_dedup, mixing, quality, secret_scan, sharding, simhash
+from reckon.llm import decontam, flac, html_extract, language, line_dedup, mixing, quality, secret_scan, sharding, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,11 +80,16 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("slots", F.array_join("slots", ",")).drop("schedule_slots")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, keep=["page_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extract, op2_sharding, op3_benchmark_decontamination, op4_line_dedup, op5_simhash_near_dedup,
-        op6_secret_scan, op7_flac_media, op8_language_id, op9_quality, op10_source_mixing,
+        op6_secret_scan, op7_flac_media, op8_language_id, op9_quality, op10_source_mixing, op11_url_filter,
     )
 }
 
@@ -107,4 +112,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)
 """,
     "op10_source_mixing": mixing.ORACLE,
+    "op11_url_filter": url_filter.ORACLE,
 }
