@@ -30,12 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back."""
+def stash(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder, in folders by the columns ``by``, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
