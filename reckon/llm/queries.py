@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckon.llm import decontam, flac, html_extract, language, line_dedup, mixing, quality, secret_scan, sharding, simhash, url_filter, vector_codes
+from reckon.llm import decontam, flac, hard_negatives, html_extract, language, line_dedup, mixing, quality, secret_scan, sharding, simhash, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,12 +89,17 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extract, op2_sharding, op3_benchmark_decontamination, op4_line_dedup, op5_simhash_near_dedup,
         op6_secret_scan, op7_flac_media, op8_language_id, op9_quality, op10_source_mixing, op11_url_filter,
-        op12_vector_codes,
+        op12_vector_codes, op13_hard_negatives,
     )
 }
 
@@ -119,4 +124,5 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)
     "op10_source_mixing": mixing.ORACLE,
     "op11_url_filter": url_filter.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
