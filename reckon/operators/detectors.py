@@ -21,7 +21,7 @@ from reckon.functions.scalars import half_up, inr, month_start
 from reckon.functions.similarity import with_similarity
 from reckon.operators.matching import day_number, near_join
 from reckon.operators.medians import medians_before
-from reckon.operators.vendors import similar_pairs
+from reckon.operators.name_join import candidate_strings, similar_words, words_of
 from reckon.plans.config import DETECTORS, Detector
 
 ORDER = (
@@ -113,13 +113,29 @@ def known_vendors(case: Case, names: DataFrame) -> DataFrame:
 
 
 def similar_to_known(case: Case, names: DataFrame, least: float = 0.9) -> DataFrame:
-    """(run_id, vendor) of the names that are similar to a vendor of the run's ledger or of an earlier one."""
-    since = case.past.where("side = 'ledger'").groupBy("vendor").agg(F.min("period").alias("since"))
-    own = case.txns.where("side = 'ledger'").select("run_id", F.col("vendor").alias("master")).distinct().withColumn("own", F.lit(True))
-    near = similar_pairs(names.select("vendor"), since.select("vendor").unionByName(own.select(F.col("master").alias("vendor"))), least).select("vendor", "master")
-    hits = case.of_run(names.select("run_id", "vendor").distinct(), "period").join(near, "vendor")
-    hits = hits.join(since.withColumnRenamed("vendor", "master"), "master", "left").join(own, ["run_id", "master"], "left")
-    return hits.where((F.col("since") < F.col("period")) | F.col("own")).select("run_id", "vendor").distinct()
+    """(run_id, vendor) of the names that are similar to a vendor of the run's ledger or of an earlier one.
+
+    One similar word makes two names similar, so names are asked for by the words of the known ones: a word has one row,
+    with the first period that knows it, and a row for each run that books it, however many names hold it. Only
+    names that no word finds meet known names as whole strings.
+    """
+    since = case.past.where("side = 'ledger'").groupBy(F.col("vendor").alias("name")).agg(F.min("period").alias("since"))
+    own = case.txns.where("side = 'ledger'").select("run_id", F.col("vendor").alias("name")).distinct()
+    asked = stash(case.of_run(names.select("run_id", "vendor").distinct(), "period"), "asked-names")
+    left, right = stash(words_of(asked.select("vendor"), "vendor"), "asked-words"), stash(words_of(since.select("name").unionByName(own.select("name")), "name"), "known-words")
+    each = lambda df, w: df.select("name", F.explode(F.array_distinct("words")).alias(w))
+    alike = stash(similar_words(each(left, "w").select("w").distinct(), each(right, "w").select("w").distinct(), least), "similar-words")
+    known = each(right, "b")
+    meant = asked.join(each(left, "a").withColumnRenamed("name", "vendor"), "vendor").join(alike, "a").select("run_id", "vendor", "period", "b").distinct()
+    earlier = meant.join(known.join(since, "name").groupBy("b").agg(F.min("since").alias("since")), "b").where(F.col("since") < F.col("period"))
+    here = meant.join(known.join(own, "name").select("run_id", "b").distinct(), ["run_id", "b"])
+    found = stash(earlier.select("run_id", "vendor").unionByName(here.select("run_id", "vendor")).distinct(), "alike-by-word")
+    rest = asked.join(found, ["run_id", "vendor"], "left_anti").join(left.withColumnRenamed("name", "vendor"), "vendor")
+    whole = candidate_strings(rest.select(F.col("joined").alias("w")), right.select(F.col("joined").alias("w")), least - 0.005 - 1e-9)
+    pairs = rest.withColumnRenamed("joined", "a").join(whole, "a").join(right.select("name", F.col("joined").alias("b")), "b").select("run_id", "vendor", "period", "name")
+    near = with_similarity(pairs, "vendor", "name").where(F.col("similarity") >= least)
+    hits = near.join(since, "name", "left").join(own.withColumn("own", F.lit(True)), ["run_id", "name"], "left").where((F.col("since") < F.col("period")) | F.col("own"))
+    return found.unionByName(hits.select("run_id", "vendor").distinct())
 
 
 def duplicate(case: Case, window: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from reckon.functions.scalars import month_start
 from reckon.functions.similarity import with_similarity
 from reckon.operators.matching import day_number, near_join
 from reckon.operators.medians import counted_amounts, histograms_before, middles_before
-from reckon.operators.vendors import similar_pairs
+from reckon.operators.name_join import similar_pairs
 
 
 def _other(rows: DataFrame) -> DataFrame:

@@ -1,56 +1,20 @@
 """Vendor resolution: narration names to the names of a vendor master, for many runs at once.
 
-All similarity is computed on distinct names, and only for names that share a rare character of some word:
-a similarity near 1 bounds how many characters of the longer word may be missing from the other, so two
-similar words must agree within the first few of their characters in order of rarity.
+All similarity is computed on distinct names, and only for names that ``name_join`` lets meet.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from reckon.durable import stash
 from reckon.functions.scalars import display_name, initials, upi_handle
-from reckon.functions.similarity import jaro_winkler, skeleton, token_column, tokens, vendor_similarity_udf
-
-#: Letters from rare to frequent; anything else comes first.
-_RARITY = "qxzjvkwfybhgmpducltsnrioae "
-
-
-def rare_characters(name: Column, least: float) -> Column:
-    """Keys of a name such that two names of at least this similarity (over .89) share one.
-
-    Jaro of two words is at most (m/a + m/b + 1) / 3 for m common characters, and the prefix adds at most .4 of
-    what is missing to 1; so m is at least a share of the length, and by the pigeonhole principle the first
-    length - m + 1 characters of both, counted with their occurrences and sorted alike, have one in common.
-    """
-    assert least > 0.89, "a shared skeleton alone makes .89"
-    jaro = (least - 0.005 - 0.4) / 0.6
-    share = 3 * jaro - 2
-    words = token_column(name)
-    pieces = F.array_distinct(F.concat(words, F.array(F.array_join(words, " "))))
-
-    def keys(piece: Column) -> Column:
-        chars = F.filter(F.split(piece, ""), lambda c: c != "")
-        marked = F.transform(chars, lambda c, i: F.concat(F.lpad(F.instr(F.lit(_RARITY), c).cast("string"), 2, "0"), c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
-        need = F.ceil(F.size(chars) * F.lit(share) - F.lit(1e-9)).cast("int")
-        return F.slice(F.array_sort(marked), F.lit(1), F.greatest(F.size(chars) - need + 1, F.lit(1)))
-
-    return F.array_distinct(F.flatten(F.transform(pieces, keys)))
-
-
-def similar_pairs(names: DataFrame, masters: DataFrame, least: float) -> DataFrame:
-    """(vendor, master, similarity) of distinct names in the first columns that reach ``least``; names that share no rare
-    character are not compared."""
-    left = names.toDF("vendor").distinct().withColumn("key", F.explode(rare_characters(F.col("vendor"), least)))
-    right = masters.toDF("master").distinct().withColumn("key", F.explode(rare_characters(F.col("master"), least)))
-    pairs = left.join(right, "key").select("vendor", "master").distinct()
-    return pairs.withColumn("similarity", vendor_similarity_udf("vendor", "master")).where(F.col("similarity") >= least)
-
+from reckon.functions.similarity import jaro_winkler, skeleton, token_column, tokens
+from reckon.operators.name_join import similar_pairs
 
 def similar_names(names: DataFrame, master: DataFrame, least: float) -> DataFrame:
     """(run_id, vendor, master, similarity) of names of a run that reach ``least`` with a master name of the run.
