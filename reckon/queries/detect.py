@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reckon.operators import detectors as D
 from reckon.operators import findings as G
-from reckon.plans.config import Classify, Rules
+from reckon.plans.config import Classify, Rules, compile_rules
 from reckon.queries.state import SQL, State, flat
 from reckon.sources import fixture
 
@@ -205,6 +205,27 @@ def dt14_rule_signals(spark, d):
     return signals.select("run_id", "id", "detector", F.round("raw", 5).alias("raw"), F.round("score", 3).alias("score"), "text")
 
 
+#: Stored rules of the kinds that a run may have; the pattern of the first has a group that only Python can name.
+_STORED = [
+    {"id": "R-7", "name": "Mandates", "description": "Small mandates have no voucher.", "params": {"pattern": "^(?P<kind>NACH)-", "category": "missing", "maxAmount": "1,00,000", "suggestedGl": "4410"}},
+    {"id": "R-8", "name": "Broken", "description": "", "params": {"pattern": "(upi", "category": "timing"}},
+    {"id": "R-9", "name": "Wallets", "description": "Clears later.", "params": {"pattern": "^(nach|upi)[-/]", "category": "timing"}},
+    {"id": "R-10", "enabled": False, "params": {"pattern": ".", "category": "duplicate"}},
+]
+
+
+@query(f"""SELECT run_id, id, rule AS class_rule, CASE rule WHEN 'R-7' THEN 'missing' ELSE 'timing' END AS category, CASE rule WHEN 'R-7' THEN 'Post to GL 4410.' ELSE 'Book per rule.' END AS suggested_action,
+CASE rule WHEN 'R-7' THEN ' matches approved rule R-7 “Mandates”. Small mandates have no voucher.' ELSE ' matches approved rule R-9 “Wallets”. Clears later.' END AS told, 0.95::DOUBLE AS confidence, 0.15::DOUBLE AS risk_score,
+CASE WHEN abs(amount) >= high_value THEN 'human_review' ELSE 'auto_resolve' END AS routing, CASE WHEN abs(amount) >= high_value THEN 'High value' END AS routing_reason
+FROM (SELECT u.*, r.high_value, CASE WHEN channel = 'NACH' AND abs(amount) <= 100000 THEN 'R-7' WHEN channel IN ('NACH', 'UPI') THEN 'R-9' END AS rule FROM u JOIN runs r USING (run_id)) WHERE rule IS NOT NULL""")
+def dt14_rule_findings(spark, d):
+    """Findings of the rows that stored rules classify, among all findings."""
+    s = State(spark, d)
+    found = G.investigate(s.case, compile_rules(_STORED, {}).rules, s.runs).where("class_rule is not null and size(covered) = 1")
+    told = F.regexp_extract("explanation", r"\)( matches approved rule .*)$", 1)
+    return found.select("run_id", "id", "class_rule", "category", "suggested_action", told.alias("told"), "confidence", F.round("risk_score", 3).alias("risk_score"), "routing", "routing_reason")
+
+
 def _made(spark, d):
     s = State(spark, d)
     signals = D.run_detectors(s.case)
