@@ -26,7 +26,7 @@ def test_without_article_element():
 
 def test_siblings_are_kept():
     html = f"<div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><p>{PROSE}</p><p>{PROSE}</p></div><p>x</p></div>"
-    assert main_text(html) == " ".join([PROSE] * 4)
+    assert main_text(html) == " ".join([PROSE] * 4) + " x"
 
 
 def test_odd_pages(spark):
@@ -162,3 +162,69 @@ def test_link_density_decides():
     assert main_text(f"<div><div>{teasers}</div><div>{story}</div></div>") == " ".join([PROSE] * 3)
     rows = "".join(f"<div><div><p>{PROSE} {i}</p></div></div>" for i in range(4))
     assert main_text(f"<div id=menu><a href=/>x</a></div><div>{rows}</div>") == " ".join(f"{PROSE} {i}" for i in range(4))
+
+
+def article(rng, n):
+    """Blocks of an article: (markup, text) of headings, paragraphs, lists, quotes and bare divs of any length."""
+    out = []
+    for _ in range(n):
+        text = " ".join(rng.choice(["plain", "words", "of prose,", "and more", "to read."]) for _ in range(rng.choice([3, 12, 30, 90])))
+        tag = rng.choice(["p", "p", "p", "h3", "blockquote", "ul", "div"])
+        out.append((f"<ul><li>{text}</li><li>{text}</li></ul>", f"{text} {text}") if tag == "ul" else (f"<{tag}>{text}</{tag}>", text))
+    return out
+
+
+LONG = "A reader or a seller writes at length here, with commas, and with more than enough words to earn the points of a paragraph, so that nothing but its name tells it apart. " * 2
+FOREIGN_PARTS = [
+    "<nav><ul><li><a href=/>Home</a></li></ul></nav>", "<div class='promo-unit'><p>%s</p></div>", "<div class='discussion-thread'><p>%s</p></div>", "<section id='reader-reply-box'><p>%s</p></section>",
+    "<div class='adSlot top'><p>%s</p></div>", "<aside><p>%s</p></aside>", "<div id='user-comments'><div><p>%s</p></div></div>", "<div class='cookie-notice'><p>%s</p></div>", "<div role=complementary><p>%s</p></div>",
+    "<ul><li><a href=/a>One</a></li><li><a href=/b>Two links</a></li></ul>", "<form action=/s><input name=q><p>%s</p><input type=submit></form>", "<div class='primary-navigation'><a href=/>x</a></div>", "<footer><p>%s</p></footer>",
+]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_labelled_pages_keep_exactly_the_article(seed):
+    rng = random.Random(seed)
+    sections = [article(rng, rng.randint(1, 4)) for _ in range(rng.randint(2, 6))]
+    sections[0].append((f"<p>{LONG}</p>", LONG.strip()))
+    kind = rng.randrange(5)
+    tag = rng.choice(["section", "div"])
+    inner = "".join(f"<{tag}>" + "".join(m for m, _ in s) + f"</{tag}>" for s in sections) if kind != 1 else "".join(m for s in sections for m, _ in s)
+    foreign = [rng.choice(FOREIGN_PARTS).replace("%s", LONG) for _ in range(rng.randint(0, 5))]
+    before, after = foreign[::2], foreign[1::2]
+    box = {0: f"<div id=content>{inner}</div>", 1: f"<div class='page has-sidebar'>{inner}</div>", 2: f"<article>{inner}</article>", 3: inner, 4: f"<main><div>{inner}</div></main>"}[kind]
+    body = "".join(before) + box + "".join(after)
+    if rng.random() < 0.3 and "<form" not in body:
+        body = f"<form id=aspnetForm method=post><input type=hidden name=__VIEWSTATE value=x>{body}</form>"
+    assert main_text(f"<html><head><title>T</title></head><body>{body}</body></html>") == " ".join(t for s in sections for _, t in s)
+
+
+def test_sections_headings_and_names_inside_an_article():
+    part = PROSE + " " + PROSE[:50]
+    five = "".join(f"<section><h2>Part {i}</h2><p>{part} {i}</p></section>" for i in range(5))
+    want = " ".join(f"Part {i} {part} {i}" for i in range(5))
+    assert main_text(f"<body>{five}</body>") == main_text(f"<form><input type=hidden>{five}<input name=q></form>") == want
+    mixed = f"<div>{part}</div><h3>Head</h3><ul><li>One</li></ul><div>{part}</div>"
+    assert main_text(mixed) == main_text(f"<div id=content>{mixed}</div>") == f"{part} Head One {part}"
+    long = f"<section><p>{part * 9}</p></section>" + "".join(f"<section><p>{PROSE} {i}</p></section>" for i in range(3))
+    assert main_text(long) == main_text(f"<div id=content>{long}</div>") == part * 9 + "".join(f" {PROSE} {i}" for i in range(3))
+    names = f"<article><div class='modal-verbs'><p>{PROSE} a</p></div><h2 id='menu'>Menu</h2><div id='menu-design'><p>{PROSE} b</p></div><div class='ad-slot'><p>{LONG}</p></div><div class='comment-list'>{LONG}</div></article>"
+    assert main_text(names) == f"{PROSE} a Menu {PROSE} b"
+    assert main_text(f"<form><label>Your name</label><input name=a><input name=b><textarea name=c></textarea><p>{PROSE}</p></form>") == ""
+    assert main_text(f"<div class=social-history><p>{PROSE}</p></div>") == PROSE
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div ", "<!--", '<p class="', '<a href="x ', '<a href="x >', "<script>", "<![CDATA[", "</", "<?", "<p a=b c='", "<", "&", "<a/ /", "<p =", "<p a= ", "<title>", "</p ", '<p x="y"z'])
+def test_a_megabyte_of_broken_markup_takes_seconds(piece):
+    import time
+
+    began = time.process_time()
+    assert isinstance(main_text(f"<p>{PROSE}</p>" + piece * (1_000_000 // len(piece))), str)
+    assert time.process_time() - began < 5
+
+
+def test_broken_tags_lose_no_text_before_them():
+    for tail in ('<a href="x', "<a ", "<!-- never", '<p class="', "</", "<script>var"):
+        assert main_text(f"<p>{PROSE}</p>{tail}").startswith(PROSE)
+    assert main_text(f'<p class="x>{PROSE}</p><p>{PROSE}</p>') == f"{PROSE} {PROSE}"
+    assert main_text(f"<p title='a > b' data-x=\"1 > 0\" y=z/>{PROSE}<br/>a &amp; b &lt;c&gt; 1 < 2 </p >") == f"{PROSE} a & b <c> 1 < 2"
