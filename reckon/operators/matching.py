@@ -334,11 +334,83 @@ def pairs_of(chosen: DataFrame, name: str) -> DataFrame:
     )
 
 
+#: Pairs of rows that a cell of one amount, day and name can make, from which the cell is settled without forming them.
+CELL_PAIRS = 64
+
+
+def _by_account(rows: DataFrame, same_account: DataFrame | None) -> DataFrame:
+    """Add ``__account``: the account where a run matches within accounts, else empty."""
+    if same_account is None:
+        return rows.withColumn("__account", F.lit(""))
+    flag = same_account.select("run_id", F.col("same_account").alias("__flag"))
+    return rows.join(flag, "run_id", "left").withColumn("__account", F.when(F.coalesce("__flag", F.lit(False)), F.col("account_id")).otherwise(F.lit(""))).drop("__flag")
+
+
+def crowded_cells(txns: DataFrame, p: Pass, same_account: DataFrame | None = None) -> DataFrame:
+    """(run_id, __account, amount, date) where the exact pass lets every bank row pair with every ledger row: one bank name,
+    one ledger name, and both similar. Only cells of at least ``CELL_PAIRS`` pairs."""
+    rows = _by_account(txns, same_account).where(F.col("__account").isNotNull())
+    of = lambda s, c: F.when(F.col("side") == s, c)
+    sums = rows.groupBy("run_id", "__account", "amount", "date").agg(
+        F.count(of("bank", F.lit(1))).alias("nb"), F.count(of("ledger", F.lit(1))).alias("nl"), F.count("vendor").alias("named"),
+        *[f(of(s, F.col("vendor"))).alias(f"{n}_{s}") for s in ("bank", "ledger") for n, f in (("lo", F.min), ("hi", F.max))],
+    )
+    one = sums.where((F.col("nb") * F.col("nl") >= CELL_PAIRS) & (F.col("named") == F.col("nb") + F.col("nl")) & (F.col("lo_bank") == F.col("hi_bank")) & (F.col("lo_ledger") == F.col("hi_ledger")))
+    return with_similarity(one, "lo_bank", "lo_ledger").where(F.col("similarity") >= p.similarity).select("run_id", "__account", "amount", "date")
+
+
+def named_edges(bank: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, b_id, l_id) of the rows of a cell whose ledger reference stands in the bank row.
+
+    A bank text is cut into all pieces of the lengths that the references of its cell have, so that a reference meets its
+    piece by equality; no pair of rows is formed that does not hold.
+    """
+    ref = F.coalesce("reference", F.lit(""))
+    silent = (ref == "") | F.upper(ref).rlike(INTERNAL_REFERENCES)
+    told = ledger.where(~silent).withColumn("piece", normal_reference(ref)).where(F.length("piece") >= 4).select(*keys, F.col("id").alias("l_id"), "piece")
+    lengths = told.groupBy(*keys).agg(F.collect_set(F.length("piece")).alias("lengths"))
+    text, own = normal_reference(F.coalesce("narration", F.lit(""))), normal_reference(F.coalesce("reference", F.lit("")))
+    cut = F.flatten(F.transform("lengths", lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - k + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, k))))
+    heard = bank.withColumns({"text": text, "own": own}).join(lengths, keys).select(*keys, F.col("id").alias("b_id"), F.explode(F.array_distinct(F.concat(cut, F.array("own")))).alias("piece"))
+    return heard.join(told, [*keys, "piece"]).select(*keys, "b_id", "l_id").distinct()
+
+
+def cell_pairs(txns: DataFrame, cells: DataFrame, members: DataFrame, same_account: DataFrame | None = None) -> DataFrame:
+    """The edges of a best assignment in crowded cells, with the columns of ``scored``.
+
+    In such a cell all pairs score alike but for the reference, so as many pairs as can be named by references come
+    first (a sparse assignment); the rest is filled up in the order of ids, ledger rows without a reference before
+    those whose reference names another row.
+    """
+    keys = ["run_id", "__account", "amount", "date"]
+    rows = stash(_by_account(txns, same_account).join(cells, keys, "left_semi"), "cell-rows")
+    firsts = rows.join(members.where("nth = 1").select("run_id", "side", "id"), ["run_id", "side", "id"], "left_semi")
+    edges = named_edges(firsts.where("side = 'bank'"), firsts.where("side = 'ledger'"), keys)
+    edges = edges.select("run_id", "b_id", "l_id", F.lit(1.0).alias("score"), F.col("amount").alias("b_amount"), F.col("date").alias("b_date"))
+    named = stash(best_pairs(edges, members, True).select("run_id", "b_id", "l_id"), "named-pairs")
+    free = rows
+    for c in ("b_id", "l_id"):
+        free = free.join(named.select("run_id", F.col(c).alias("id")), ["run_id", "id"], "left_anti")
+    ref = F.coalesce("reference", F.lit(""))
+    speaks = (F.col("side") == "ledger") & ~((ref == "") | F.upper(ref).rlike(INTERNAL_REFERENCES))
+    free = free.withColumn("place", F.row_number().over(W.partitionBy("side", *keys).orderBy(speaks, "id"))).select("side", *keys, "place", "id")
+    fill = free.where("side = 'bank'").drop("side").withColumnRenamed("id", "b_id").join(free.where("side = 'ledger'").drop("side").withColumnRenamed("id", "l_id"), [*keys, "place"])
+    pairs = stash(named.unionByName(fill.select("run_id", "b_id", "l_id")), "cell-pairs")
+    return scored(pairs.join(side(rows, "bank", "b"), ["run_id", "b_id"]).join(side(rows, "ledger", "l"), ["run_id", "l_id"])).withColumn("used", F.array().cast("array<string>"))
+
+
 def one_to_one(txns: DataFrame, p: Pass, rules: Rules = Rules(), same_account: DataFrame | None = None, widened: DataFrame | None = None) -> DataFrame:
     """Pairs that a pass of kind exact, date, fuzzy or relaxed makes among unmatched rows."""
     members = stash(classes(txns, max([p.amount, *(t.amount for t in rules.tolerances if t.amount is not None)])), "classes")
-    firsts = txns.join(members.where("nth = 1").select("run_id", "side", "id"), ["run_id", "side", "id"], "left_semi")
-    return pairs_of(best_pairs(candidate_edges(firsts, p, rules, same_account, widened), members, p.kind == "exact"), p.name)
+    open_, crowded = txns, None
+    if p.kind == "exact":
+        cells = stash(crowded_cells(txns, p, same_account), "crowded-cells")
+        if not cells.isEmpty():
+            crowded = cell_pairs(txns, cells, members, same_account)
+            open_ = _by_account(txns, same_account).join(cells, ["run_id", "__account", "amount", "date"], "left_anti").drop("__account")
+    firsts = open_.join(members.where("nth = 1").select("run_id", "side", "id"), ["run_id", "side", "id"], "left_semi")
+    made = pairs_of(best_pairs(candidate_edges(firsts, p, rules, same_account, widened), members, p.kind == "exact"), p.name)
+    return made if crowded is None else made.unionByName(pairs_of(crowded, p.name))
 
 
 def without_matched(txns: DataFrame, pairs: DataFrame) -> DataFrame:
