@@ -186,24 +186,58 @@ def queue_tabs(queue: DataFrame) -> DataFrame:
     )
 
 
-def dashboard(stats: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: open and pending findings, amount awaiting review, latest match rate and mean hours saved.
+#: Periods that the dashboard's trend and mean hours cover.
+TREND_PERIODS = 12
+#: Minutes that a matched pair saves.
+MINUTES_A_PAIR = 1.2
 
-    The trend takes the last run of each period; hours count 1.2 minutes a pair over the last twelve periods.
-    """
-    ok = stats.where(~F.col("status").isin("failed", "running", "queued"))
-    trend = trend_by_period(ok)
-    recent = trend.orderBy(F.desc("period")).limit(12)
-    agg = recent.agg(F.max_by("auto_match_rate", "period").alias("auto_match_rate"), half_up(F.avg(F.col("matched") * 1.2 / 60), 1).alias("avg_hours_saved"))
-    opened = findings.where(F.col("status").isin(*OPEN)).agg(F.count(F.lit(1)).alias("open_anomalies"), F.count(F.when(F.col("routing") == "human_review", 1)).alias("pending_reviews"))
-    waiting = ok.where("status = 'awaiting_review'").agg(_total(F.abs("unexplained")).alias("unreconciled_amount"))
-    return agg.withColumn("k", F.lit(1)).join(opened.withColumn("k", F.lit(1)), "k").join(waiting.withColumn("k", F.lit(1)), "k").drop("k")
+
+def _settled(stats: DataFrame) -> DataFrame:
+    return stats.where(~F.col("status").isin("failed", "running", "queued"))
 
 
 def trend_by_period(stats: DataFrame) -> DataFrame:
-    """The last run of each period, with its rate and categories."""
-    last = F.row_number().over(W.partitionBy("period").orderBy(F.desc("run_id")))
-    return stats.withColumn("n", last).where("n = 1").select("period", "run_id", "auto_match_rate", "matched", *[f"n_{c}" for c in CATEGORIES])
+    """The last run of each period, by creation and then id, with its rate, pairs and categories. Failed, running and
+    queued runs do not count. One aggregation: a row a period."""
+    kept = ["run_id", "auto_match_rate", "matched", *[f"n_{c}" for c in CATEGORIES]]
+    last = _settled(stats).groupBy("period").agg(F.max_by(F.struct(*kept), F.struct("created_at", "run_id")).alias("r"))
+    return last.select("period", *[F.col(f"r.{c}").alias(c) for c in kept])
+
+
+def recent_periods(stats: DataFrame, periods: int = TREND_PERIODS) -> DataFrame:
+    """``trend_by_period`` of the last so many periods that have a settled run."""
+    return trend_by_period(stats).orderBy(F.desc("period")).limit(periods)
+
+
+def dashboard(stats: DataFrame, findings: DataFrame, now: Column) -> DataFrame:
+    """One row: runs created in the month of ``now`` (failed ones too), the latest match rate, open and pending findings,
+    the amount awaiting review and mean hours saved over the last periods.
+
+    What runs, periods and findings say is put below each other and summed up once; ``stats`` has ``created_at``.
+    """
+    month = F.trunc("created_at", "month") == F.trunc(now, "month")
+    waiting = F.col("status") == "awaiting_review"
+    runs = stats.select(F.when(month, 1).alias("this_month"), F.when(waiting, F.abs("unexplained")).alias("waiting"))
+    periods = recent_periods(stats).select("period", "auto_match_rate", (F.col("matched") * MINUTES_A_PAIR / 60).alias("hours"))
+    opened = findings.where(F.col("status").isin(*OPEN)).select(F.lit(1).alias("open_"), F.when(F.col("routing") == "human_review", 1).alias("pending"))
+    facts = runs.unionByName(periods, allowMissingColumns=True).unionByName(opened, allowMissingColumns=True)
+    return facts.agg(
+        F.count("this_month").alias("runs_this_month"), F.coalesce(F.max_by("auto_match_rate", "period"), F.lit(0.0)).alias("auto_match_rate"), F.count("open_").alias("open_anomalies"),
+        F.count("pending").alias("pending_reviews"), _total(F.col("waiting")).alias("unreconciled_amount"), F.coalesce(half_up(F.avg("hours"), 1), F.lit(0.0)).alias("avg_hours_saved"),
+    )
+
+
+def dashboard_trend(stats: DataFrame, periods: int = TREND_PERIODS) -> DataFrame:
+    """(level, period, category, findings, auto_match_rate) of the last periods by grouping sets: ``category`` rows of each
+    period, one ``period`` row with its rate, and one ``all`` row."""
+    recent = recent_periods(stats, periods)
+    long = recent.select("period", "auto_match_rate", F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"n_{c}").alias("n")) for c in CATEGORIES])).alias("k"))
+    long = long.select("period", "auto_match_rate", F.col("k.category").alias("category"), F.col("k.n").alias("n"))
+    sets = long.groupingSets([[F.col("period"), F.col("category")], [F.col("period")], []], F.col("period"), F.col("category"))
+    sums = sets.agg(F.grouping_id("period", "category").alias("g"), F.sum("n").alias("findings"), F.max("auto_match_rate").alias("rate"), F.count(F.lit(1)).alias("rows"))
+    level = F.when(F.col("g") == 0, "category").when(F.col("g") == 1, "period").otherwise("all")
+    # without a period the empty grouping set still has a row; it says nothing
+    return sums.where("rows > 0").select(level.alias("level"), "period", "category", F.col("findings").cast("long").alias("findings"), F.when(F.col("g") == 1, F.col("rate")).alias("auto_match_rate"))
 
 
 def attention(findings: DataFrame, txns: DataFrame, top: int = 5) -> DataFrame:

@@ -101,11 +101,28 @@ def v7_review_queue(spark, d):
 
 
 @query(f"""{_STATS}, o AS (SELECT count(*) AS open_anomalies, count(*) FILTER (WHERE routing = 'human_review') AS pending_reviews FROM f WHERE status IN ('open', 'in_review', 'escalated'))
-SELECT (SELECT auto_match_rate FROM st ORDER BY period DESC LIMIT 1) AS auto_match_rate, (SELECT floor(avg(matched * 1.2 / 60) * 10 + 0.5) / 10 FROM (SELECT CAST(matched AS DOUBLE) AS matched FROM st ORDER BY period DESC LIMIT 12)) AS avg_hours_saved,
+SELECT (SELECT count(*) FROM runs WHERE period = '1998-07') AS runs_this_month, (SELECT auto_match_rate FROM st ORDER BY period DESC LIMIT 1) AS auto_match_rate, (SELECT floor(avg(matched * 1.2 / 60) * 10 + 0.5) / 10 FROM (SELECT CAST(matched AS DOUBLE) AS matched FROM st ORDER BY period DESC LIMIT 12)) AS avg_hours_saved,
  open_anomalies, pending_reviews, (SELECT CAST(sum(abs(unexplained)) AS DECIMAL(28,2)) FROM st) AS unreconciled_amount FROM o""")
 def v8_dashboard(spark, d):
     s = State(spark, d)
-    return V.dashboard(stash(_stats(s), "stats"), s.findings)
+    return V.dashboard(stash(_created(_stats(s)), "stats"), s.findings, F.lit("1998-07-20").cast("timestamp"))
+
+
+def _created(stats):
+    """Statistics with a time of creation: the fifth of each run's period."""
+    return stats.withColumn("created_at", F.to_timestamp(F.concat("period", F.lit("-05"))))
+
+
+_KINDS = ", ".join(f"count(*) FILTER (WHERE coalesce(human_category, category) = '{c}') AS n_{c}" for c in V.CATEGORIES)
+
+
+@query(f"""{_STATS}, last AS (SELECT run_id, period, auto_match_rate FROM st ORDER BY period DESC LIMIT 12),
+n AS (SELECT period, any_value(auto_match_rate) AS rate, {_KINDS} FROM last LEFT JOIN f USING (run_id) GROUP BY period),
+x AS (UNPIVOT n ON {", ".join("n_" + c for c in V.CATEGORIES)} INTO NAME category VALUE findings)
+SELECT 'category' AS level, period, substr(category, 3) AS category, findings, CAST(NULL AS DOUBLE) AS auto_match_rate FROM x
+UNION ALL SELECT 'period', period, NULL, CAST(sum(findings) AS BIGINT), any_value(rate) FROM x GROUP BY period UNION ALL SELECT 'all', NULL, NULL, CAST(sum(findings) AS BIGINT), NULL FROM x""")
+def v8_trend_by_category(spark, d):
+    return V.dashboard_trend(_created(_stats(State(spark, d))))
 
 
 @query(f"""{_STATS}, x AS (SELECT run_id, 'tolerance' AS step, 1 AS at, tolerance_diff AS delta FROM st UNION ALL SELECT run_id, step, list_position(['tolerance', 'missing', 'duplicate', 'timing', 'potential_fraud', 'unknown'], step) AS at, CAST(sum(v) AS DECIMAL(28,2)) AS delta
@@ -417,7 +434,7 @@ def mt14_settled_findings(spark, d):
 @query(f"{_STATS} SELECT period, run_id, auto_match_rate, matched, n_timing FROM st")
 def v8_trend(spark, d):
     """The last run of each period with its rate and categories; the fixture has one run a period."""
-    return V.trend_by_period(_stats(State(spark, d))).select("period", "run_id", "auto_match_rate", "matched", "n_timing")
+    return V.trend_by_period(_created(_stats(State(spark, d)))).select("period", "run_id", "auto_match_rate", "matched", "n_timing")
 
 
 @query("SELECT run_id, finding_id, round(risk_score * log10(greatest(10, CAST(round(abs(amount), 0) AS BIGINT))), 6) AS priority FROM f WHERE status IN ('open', 'in_review', 'escalated') ORDER BY risk_score * log10(greatest(10, CAST(round(abs(amount), 0) AS BIGINT))) DESC, run_id, finding_id LIMIT 5")
