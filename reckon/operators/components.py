@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from reckon.durable import drop_stash, stash
 
@@ -32,6 +38,40 @@ def by_component(rows: DataFrame, key: str = "component") -> GroupedData:
     return rows.repartition(n, key).groupBy(key)
 
 
+def solve_groups(rows: DataFrame, solve: Callable[[list], list[tuple]], schema: str, key: str = "component") -> DataFrame:
+    """What ``solve`` makes of the rows (named tuples) of each group, group by group, in streams of sorted rows.
+
+    For many small groups: a frame for each would cost more than its solution. Groups are dealt to all cores.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    Row = namedtuple("Row", rows.columns)
+    at = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        made: list[tuple] = []
+        for batch in batches:
+            for row in map(Row._make, zip(*(c.to_pylist() for c in batch.columns))):
+                if held and row[at] != held[0][at]:
+                    made += solve(held)
+                    held = []
+                held.append(row)
+            if made:
+                yield _batch(made, kind)
+                made = []
+        made = solve(held) if held else []
+        if made:
+            yield _batch(made, kind)
+
+    return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """One row (node, component) for each node that some edge joins to another node.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from reckon.durable import stash
 from reckon.functions.scalars import INTERNAL_REFERENCES, half_up, normal_reference
 from reckon.functions.similarity import vendor_similarity_udf, with_similarity
-from reckon.operators.components import by_component, connected_components
+from reckon.operators.components import by_component, connected_components, solve_groups
 from reckon.plans.config import P2, P4, Pass, Rules
 
 TXN = ["id", "date", "amount", "vendor", "narration", "reference", "account_id", "channel", "ord"]
@@ -488,10 +488,10 @@ def subset_sum(cents: list[int], target: int, most: int) -> list[int] | None:
 
 
 def _group_solver(most: int):
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+    def solve(component: list) -> list[tuple]:
         rows, used = [], set()
         singles: dict[str, list] = {}
-        for r in sorted(frame.itertuples(index=False), key=lambda r: (-r.magnitude, r.s_ord, r.s_id, r.m_ord, r.m_id)):
+        for r in sorted(component, key=lambda r: (-r.magnitude, r.s_ord, r.s_id, r.m_ord, r.m_id)):
             singles.setdefault(r.s_id, []).append(r)
         for sid, mine in singles.items():
             by_vendor: dict[str, list] = {}
@@ -506,11 +506,29 @@ def _group_solver(most: int):
             if best:
                 used.update(r.m_id for r in best)
                 rows.append((mine[0].run_id, sid, [r.m_id for r in sorted(best, key=lambda r: (r.m_date, r.m_id))]))
-        return pd.DataFrame(rows, columns=["run_id", "s_id", "m_ids"])
+        return rows
 
     return solve
 
 
+def summed_groups(near: DataFrame, most: int) -> DataFrame:
+    """(run_id, s_id, m_ids) of the singles that need no search: no other single could take their rows, which are all of
+    one vendor, and all of these, or all but one, sum to the single.
+
+    Counts and sums come first and rows of a single are gathered only where they are few. Of several rows that could be
+    the one left out, the first by order and id is.
+    """
+    counts = near.groupBy("run_id", "s_id").agg(
+        F.max("shared").alias("shared"), F.min("m_vendor").alias("lo"), F.max("m_vendor").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("m_cents").alias("total"), F.first("s_cents").alias("target"),
+    ).where(~F.col("shared") & (F.col("lo") == F.col("hi")) & (F.col("n") <= most + 1))
+    rows = near.join(counts.select("run_id", "s_id", "n", "total", "target"), ["run_id", "s_id"])
+    whole = (F.col("n") <= most) & (F.col("total") == F.col("target"))
+    over = F.when(~whole & (F.col("n") >= 3) & (F.col("m_cents") == F.col("total") - F.col("target")), F.struct("m_ord", "m_id"))
+    listed = rows.groupBy("run_id", "s_id").agg(F.max(whole).alias("whole"), F.min(over).alias("out"), F.array_sort(F.collect_list(F.struct("m_date", "m_id"))).alias("rows"))
+    ids = F.transform(F.filter("rows", lambda m: F.col("whole") | (m["m_id"] != F.col("out.m_id"))), lambda m: m["m_id"])
+    return listed.where(F.col("whole") | F.col("out").isNotNull()).select("run_id", "s_id", ids.alias("m_ids"))
+
+
 def group_pairs(txns: DataFrame, p: Pass, same_account: DataFrame | None = None) -> DataFrame:
     """One-to-many pairs: single bank rows against ledger rows first, then the other way on what is left.
 
@@ -534,20 +552,16 @@ def group_pairs(txns: DataFrame, p: Pass, same_account: DataFrame | None = None)
         near = near.withColumn("several", several & enough).where("several")
         cents = lambda c: (F.col(c) * 100).cast("long")
         near = near.select("run_id", "s_id", "s_ord", cents("s_amount").alias("s_cents"), F.abs("s_amount").cast("double").alias("magnitude"), "m_id", "m_ord", "m_vendor", "m_date", cents("m_amount").alias("m_cents"))
-        # a single whose rows no other single could take, all of one vendor and summing to it, needs no search
         shared = F.count(F.lit(1)).over(W.partitionBy("run_id", "m_id")) > 1
         near = stash(near.withColumn("shared", shared), "group-candidates")
-        sums = near.groupBy("run_id", "s_id").agg(
-            F.max("shared").alias("shared"), F.countDistinct("m_vendor").alias("vendors"), F.count(F.lit(1)).alias("n"), F.sum("m_cents").alias("total"),
-            F.first("s_cents").alias("target"), F.transform(F.array_sort(F.collect_list(F.struct("m_date", "m_id"))), lambda m: m["m_id"]).alias("m_ids"),
-        ).withColumn("plain", ~F.col("shared") & (F.col("vendors") == 1) & (F.col("n") <= p.max_group) & (F.col("total") == F.col("target")))
-        sums = stash(sums, "group-sums")
-        rest = near.join(sums.where("plain").select("run_id", "s_id"), ["run_id", "s_id"], "left_anti")
+        easy = stash(summed_groups(near, p.max_group), "group-sums")
+        rest = near.join(easy.select("run_id", "s_id"), ["run_id", "s_id"], "left_anti")
         node = lambda s, c: F.concat_ws("\u0001", F.lit(s), "run_id", c)
         keyed = rest.withColumn("a", node("s", "s_id")).withColumn("b", node("m", "m_id"))
         groups = connected_components(keyed)
-        found = by_component(keyed.join(groups.withColumnRenamed("node", "a"), "a").drop("a", "b")).applyInPandas(_group_solver(p.max_group), "run_id string, s_id string, m_ids array<string>")
-        found = found.unionByName(sums.where("plain").select("run_id", "s_id", "m_ids"))
+        tied = keyed.join(groups.withColumnRenamed("node", "a"), "a").drop("a", "b", "shared")
+        found = solve_groups(tied, _group_solver(p.max_group), "run_id string, s_id string, m_ids array<string>")
+        found = found.unionByName(easy)
         bank_ids, ledger_ids = ((F.array("s_id"), F.col("m_ids")) if one == "bank" else (F.col("m_ids"), F.array("s_id")))
         # scores read the pairs several times; the solver must run once
         pairs = stash(found.select("run_id", bank_ids.alias("bank_ids"), ledger_ids.alias("ledger_ids")), "groups")
