@@ -350,13 +350,14 @@ def crowded_cells(txns: DataFrame, p: Pass, same_account: DataFrame | None = Non
     """(run_id, __account, amount, date) where the exact pass lets every bank row pair with every ledger row: one bank name,
     one ledger name, and both similar. Only cells of at least ``CELL_PAIRS`` pairs."""
     rows = _by_account(txns, same_account).where(F.col("__account").isNotNull())
+    cell = ["run_id", "__account", "amount", "date"]
     of = lambda s, c: F.when(F.col("side") == s, c)
-    sums = rows.groupBy("run_id", "__account", "amount", "date").agg(
-        F.count(of("bank", F.lit(1))).alias("nb"), F.count(of("ledger", F.lit(1))).alias("nl"), F.count("vendor").alias("named"),
-        *[f(of(s, F.col("vendor"))).alias(f"{n}_{s}") for s in ("bank", "ledger") for n, f in (("lo", F.min), ("hi", F.max))],
-    )
-    one = sums.where((F.col("nb") * F.col("nl") >= CELL_PAIRS) & (F.col("named") == F.col("nb") + F.col("nl")) & (F.col("lo_bank") == F.col("hi_bank")) & (F.col("lo_ledger") == F.col("hi_ledger")))
-    return with_similarity(one, "lo_bank", "lo_ledger").where(F.col("similarity") >= p.similarity).select("run_id", "__account", "amount", "date")
+    sums = rows.groupBy(*cell).agg(F.count(of("bank", F.lit(1))).alias("nb"), F.count(of("ledger", F.lit(1))).alias("nl"))
+    # names are looked at in the few cells of so many rows alone
+    many = stash(sums.where(F.col("nb") * F.col("nl") >= CELL_PAIRS), "cells-of-many")
+    names = rows.join(many, cell).groupBy(*cell, "nb", "nl").agg(F.count("vendor").alias("named"), *[f(of(s, F.col("vendor"))).alias(f"{n}_{s}") for s in ("bank", "ledger") for n, f in (("lo", F.min), ("hi", F.max))])
+    one = names.where((F.col("named") == F.col("nb") + F.col("nl")) & (F.col("lo_bank") == F.col("hi_bank")) & (F.col("lo_ledger") == F.col("hi_ledger")))
+    return with_similarity(one, "lo_bank", "lo_ledger").where(F.col("similarity") >= p.similarity).select(*cell)
 
 
 def named_edges(bank: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:

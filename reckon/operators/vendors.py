@@ -15,6 +15,7 @@ from reckon.durable import stash
 from reckon.functions.scalars import display_name, initials, upi_handle
 from reckon.functions.similarity import jaro_winkler, skeleton, token_column, tokens
 from reckon.operators.name_join import similar_pairs
+from reckon.operators.numbering import numbered
 
 def similar_names(names: DataFrame, master: DataFrame, least: float) -> DataFrame:
     """(run_id, vendor, master, similarity) of names of a run that reach ``least`` with a master name of the run.
@@ -104,16 +105,15 @@ def resolve(rows: DataFrame, master: DataFrame, aliases: list[tuple[str, str, li
 def number_rows(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Add ``new_id`` such as B-2609-0001, counted in each prefix by side (bank first), date and file order.
 
-    ``stored`` has (prefix, last) of numbers given before.
+    ``stored`` has (prefix, last) of numbers given before. A month of any size is numbered in as many tasks as it needs.
     """
     prefix = F.concat(F.when(F.col("side") == "bank", "B-").otherwise("L-"), F.date_format("date", "yyMM"), F.lit("-"))
-    rows = rows.withColumn("prefix", prefix)
-    n = F.row_number().over(W.partitionBy("prefix").orderBy("date", "ord", "id"))
-    if stored is None:
-        return rows.withColumn("new_id", F.concat("prefix", F.lpad(n.cast("string"), 4, "0"))).drop("prefix")
-    out = rows.withColumn("n", n).join(F.broadcast(stored), "prefix", "left")
-    value = F.col("n") + F.coalesce("last", F.lit(0))
-    return out.withColumn("new_id", F.concat("prefix", F.when(value > 9999, value.cast("string")).otherwise(F.lpad(value.cast("string"), 4, "0")))).drop("prefix", "n", "last")
+    out = numbered(rows.withColumn("prefix", prefix), "prefix", ["date", "ord", "id"], "n")
+    last = F.lit(0)
+    if stored is not None:
+        out, last = out.join(stored.select("prefix", "last"), "prefix", "left"), F.coalesce("last", F.lit(0))
+    value = (F.col("n") + last).cast("string")
+    return out.withColumn("new_id", F.concat("prefix", F.when(F.length(value) > 4, value).otherwise(F.lpad(value, 4, "0")))).drop("prefix", "n", "last")
 
 
 __all__ = ["alias_hits", "lead_token_agrees", "master_matches", "number_rows", "resolve", "similar_names", "vendor_master"]
