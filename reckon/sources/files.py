@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from reckon.functions.scalars import parse_date, parse_money, signed_amount
@@ -26,8 +28,7 @@ DAY_BOOK = {"date": "Voucher Date", "vendor": "Particulars", "debit": "Debit", "
 def read_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """All columns as trimmed strings under trimmed headers, rows without any value dropped, with file and position.
 
-    Encodings differ by source, so the caller names one (UTF-8 with or without a mark, ISO-8859-1; windows-1252
-    where the session allows it).
+    The caller names the encoding (UTF-8 with or without a mark, ISO-8859-1); ``read_any_csv`` decides it for each file.
     """
     raw = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     names = [c.lstrip("﻿").strip() for c in raw.columns]
@@ -37,6 +38,70 @@ def read_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8"
     return kept.withColumn("_row", F.row_number().over(W.partitionBy("_file").orderBy("_order")) + 1).drop("_order")
 
 
+#: What the bytes from 80 to 9F stand for in windows-1252, where they stand for anything.
+_WINDOWS = {chr(i): bytes([i]).decode("cp1252") for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+@F.pandas_udf(T.StringType())
+def encoding_of(content: pd.Series) -> pd.Series:
+    """UTF-8 where the bytes are that, else windows-1252, else latin-1; ``binary`` where the text begins with a zero byte."""
+
+    def first(raw: bytes) -> str:
+        for name in ("utf-8-sig", "cp1252", "latin-1"):
+            try:
+                return "binary" if "\x00" in raw.decode(name)[:2048] else name
+            except UnicodeDecodeError:
+                continue
+        return "latin-1"
+
+    return content.map(first)
+
+
+def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, encoding) of each file, decided from all of its bytes where it lies."""
+    return spark.read.format("binaryFile").load(path).select("path", encoding_of("content").alias("encoding"))
+
+
+def read_any_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``read_csv`` of files in encodings of their own, by one read for each encoding; columns that a file lacks are null.
+
+    A file that is no text is an error that names it.
+    """
+    groups = {r["encoding"]: sorted(r["paths"]) for r in file_encodings(spark, path).groupBy("encoding").agg(F.collect_list("path").alias("paths")).collect()}
+    if "binary" in groups:
+        raise ValueError(f"not text: {', '.join(groups['binary'][:5])}")
+    out = None
+    for name, paths in sorted(groups.items()):
+        rows = read_csv(spark, paths, "UTF-8" if name == "utf-8-sig" else "ISO-8859-1")
+        if name == "cp1252":
+            old, new = "".join(_WINDOWS), "".join(_WINDOWS.values())
+            texts = [c for c in rows.columns if not c.startswith("_")]
+            named = [c.translate(str.maketrans(_WINDOWS)) for c in texts]
+            rows = rows.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(n) for c, n in zip(texts, named)], "_file", "_row")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def mapping_for(columns: list[str], kind: str, given: dict[str, str] | None = None) -> tuple[str, dict[str, str]]:
+    """The format of a file and the source column of each canonical field: a user's mapping if it says enough, else by headers.
+
+    Columns that name neither a date and a description nor an amount are an error that lists them.
+    """
+    detected = detect_format(columns, kind)
+    own = resolve_mapping(given, columns)
+    mapping = own if own and mapping_complete(own) else auto_mapping(columns, detected)
+    if not mapping_complete(mapping):
+        raise ValueError(f"no mapping for the columns {columns}")
+    return detected, mapping
+
+
+def read_transactions(spark: SparkSession, path: str | list[str], kind: str, given: dict[str, str] | None = None, credit_negative: bool = False) -> DataFrame:
+    """Signed transactions of CSV files of one layout, whatever their encodings. ``kind`` is bank or ledger."""
+    rows = read_any_csv(spark, path)
+    detected, mapping = mapping_for([c for c in rows.columns if not c.startswith("_")], kind, given)
+    return canonical(rows, mapping, detected, credit_negative)
+
+
 def detect_format(columns: list[str], kind: str) -> str:
     """day_book, bank_csv, generic_ledger or generic_bank, by headers alone."""
     low = {c.lower() for c in columns}
