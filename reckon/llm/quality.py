@@ -155,12 +155,16 @@ def train(stats: np.ndarray, text: np.ndarray, bucket: np.ndarray, share: np.nda
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Texts and labels of at most ``sample_rows`` labelled ids, those of least hash; nulls teach nothing."""
+    """Texts and labels of at most ``sample_rows`` labelled ids, those of least hash, one row an id; nulls teach nothing.
+
+    Of several rows of an id the text of least hash teaches; each task keeps one before any text is shuffled.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & allowed)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t")
+    return texts.join(F.broadcast(known), "id").groupBy("id", "label").agg(first).select("id", "label", "t.text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, **columns) -> Machine | None:

@@ -51,3 +51,10 @@ def test_odd_rows(spark):
     assert quality.add_score(docs.limit(0), machine).count() == 0
     assert quality.fit(docs, labels.limit(0), F.lit(True)) is None
     assert {r.score for r in quality.add_score(docs, None).collect()} == {0.5}
+
+
+def test_one_id_in_many_rows_teaches_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "a"), (2, None), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 1)], "doc_id long, quality int")
+    rows = quality.labelled_sample(docs, labels, F.lit(True)).collect()
+    assert sorted((r.id, r.label) for r in rows) == [(1, 1), (2, 0), (3, 1)]
