@@ -170,16 +170,16 @@ def mt11_mt12_group_sum(spark, d):
 
 
 #: Lines of orders, each order a run of its own, so that no other order's lines are near.
-_OWN_DAYS = _LINES.replace("{vendor}", _VENDOR_OF_LINE).replace("'run_' || CAST(l_orderkey % 50 AS VARCHAR(9))", "'run_' || CAST(l_orderkey AS VARCHAR(20))")
+_OWN_RUNS = _LINES.replace("{vendor}", _VENDOR_OF_LINE).replace("'run_' || CAST(l_orderkey % 50 AS VARCHAR(9))", "'run_' || CAST(l_orderkey AS VARCHAR(20))")
 
 
-@query(f"""WITH r AS (SELECT *, regexp_extract(id, 'L-(\d+)-', 1) AS k FROM ({_OWN_DAYS})),
+@query(f"""WITH r AS (SELECT *, regexp_extract(id, 'L-(\\d+)-', 1) AS k FROM ({_OWN_RUNS})),
 n AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY amount, id) AS place FROM r)
 SELECT run_id, 'B-' || k AS bank_ids, string_agg(id, ',' ORDER BY date, id) AS ledger_ids, '{P4}' AS pass_name, CAST(0.94 AS DOUBLE) AS score
 FROM n WHERE n > 3 AND (CAST(k AS BIGINT) % 3 = 0 OR place > 1) GROUP BY run_id, k""")
 def mt12_whole_and_all_but_one(spark, d):
     """Bank rows that sum all lines of an order, or all but its largest one."""
-    lines = spark.sql(_OWN_DAYS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=fixture.table(spark, d, "lineitem"))
+    lines = spark.sql(_OWN_RUNS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=fixture.table(spark, d, "lineitem"))
     key = F.regexp_extract("id", r"L-(\d+)-", 1)
     sums = lines.groupBy("run_id", "date", "vendor", key.alias("k")).agg(F.sum("amount").alias("whole"), F.min("amount").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 3")
     paid = F.when(F.col("k").cast("long") % 3 == 0, F.col("whole")).otherwise(F.col("whole") - F.col("largest"))
