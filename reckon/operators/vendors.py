@@ -5,6 +5,8 @@ All similarity is computed on distinct names, and only for names that ``name_joi
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +62,46 @@ def vendor_master(txns: DataFrame, runs: DataFrame) -> DataFrame:
     return once.select("run_id", "master", F.row_number().over(W.partitionBy("run_id").orderBy("far", "first", "master")).alias("ord"))
 
 
+@dataclass(frozen=True)
+class Masters:
+    """The names that each run knows, without a row for each run and name: ``own`` (run_id, master, first) of a run's ledger
+    with its first row, and ``shared`` (master), the names of all finished runs. A run knows its own and all shared ones."""
+
+    own: DataFrame
+    shared: DataFrame
+
+
+def masters_of(txns: DataFrame, runs: DataFrame) -> Masters:
+    """The names of ledger rows by run, and those of finished runs. Each is one aggregation."""
+    ledger = txns.where("side = 'ledger' and vendor is not null and vendor <> ''")
+    own = ledger.groupBy("run_id", F.col("vendor").alias("master")).agg(F.min("ord").alias("first"))
+    done = runs.where(F.col("status").isin("completed", "awaiting_review")).select("run_id")
+    return Masters(stash(own, "own-masters"), stash(own.join(done, "run_id", "left_semi").select("master").distinct(), "shared-masters"))
+
+
+def known_matches(names: DataFrame, masters: Masters, least: float = 0.9) -> DataFrame:
+    """``master_matches`` against what each run knows: its own names first by their first row, then the shared ones in order.
+
+    Names are compared once each, whatever number of runs holds them; runs come in only with the pairs that are similar.
+    An initialism must name one of all names that the run knows.
+    """
+    asked = names.select("run_id", "vendor").distinct()
+    every = masters.own.select("master").unionByName(masters.shared).distinct()
+    near = similar_pairs(asked.select("vendor"), every, least).where(lead_token_agrees("vendor", "master"))
+    shared = masters.shared.withColumn("shared", F.lit(True))
+    met = asked.join(stash(near, "near-masters"), "vendor").join(masters.own, ["run_id", "master"], "left").join(shared, "master", "left").where("first is not null or shared")
+    order = F.struct(-F.col("similarity"), F.col("first").isNull(), "first", "master")
+    best = met.groupBy("run_id", "vendor").agg(F.min_by("master", order).alias("close"))
+    short = lambda df: df.withColumn("word", initials(F.col("master"))).where("word <> ''")
+    common = short(masters.shared).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("master").alias("master"))
+    apart = short(masters.own.select("run_id", "master").join(masters.shared, "master", "left_anti")).groupBy("run_id", "word").agg(F.count(F.lit(1)).alias("m"), F.min("master").alias("alone"))
+    words = asked.select("run_id", "vendor", F.posexplode(token_column(F.col("vendor"))).alias("at", "word")).where(F.length("word").between(3, 5))
+    one = words.join(common, "word", "left").join(apart, ["run_id", "word"], "left").where(F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)) == 1)
+    brand = one.groupBy("run_id", "vendor").agg(F.min_by(F.coalesce("master", "alone"), "at").alias("brand"))
+    out = asked.join(best, ["run_id", "vendor"], "left").join(brand, ["run_id", "vendor"], "left")
+    return out.select("run_id", "vendor", F.coalesce("close", "brand").alias("matched"))
+
+
 def alias_hits(rows: DataFrame, aliases: list[tuple[str, str, list[str]]]) -> DataFrame:
     """Add ``alias_rule`` and ``alias_name`` of the first rule (id, canonical, aliases) contained in the narration."""
     up = F.upper("narration")
@@ -85,17 +127,18 @@ def master_matches(names: DataFrame, master: DataFrame, least: float = 0.9) -> D
     return out.select("run_id", "vendor", F.coalesce("close", "brand").alias("matched"))
 
 
-def resolve(rows: DataFrame, master: DataFrame, aliases: list[tuple[str, str, list[str]]] = []) -> DataFrame:  # noqa: B006
+def resolve(rows: DataFrame, master: DataFrame | Masters, aliases: list[tuple[str, str, list[str]]] = []) -> DataFrame:  # noqa: B006
     """Add ``resolved`` to bank rows (run_id, narration, extracted): alias, name match, handle match, display name.
 
-    Names with a dash of our own making (—) are not matched.
+    Names with a dash of our own making (—) are not matched. ``master`` lists (run_id, master, ord), or is what runs know.
     """
     rows = alias_hits(rows, aliases).withColumn("handle", upi_handle(F.col("narration")))
     own = F.col("extracted").contains("—")
     asked = F.array(F.when(~own, F.col("extracted")), F.col("handle"))
     names = rows.select("run_id", F.explode(F.array_compact(asked)).alias("vendor")).distinct()
     # the few names are written: as columns of the plan, their long expressions would be repeated at every use of a name
-    found = stash(master_matches(stash(names, "names"), stash(master, "masters")), "matched-names")
+    names = stash(names, "names")
+    found = stash(known_matches(names, master) if isinstance(master, Masters) else master_matches(names, stash(master, "masters")), "matched-names")
     by = lambda c, out: found.select("run_id", F.col("vendor").alias(c), F.col("matched").alias(out))
     rows = rows.join(by("extracted", "by_name"), ["run_id", "extracted"], "left").join(by("handle", "by_handle"), ["run_id", "handle"], "left")
     plain = F.when(own, F.col("extracted")).otherwise(display_name(F.col("extracted")))
@@ -116,4 +159,4 @@ def number_rows(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return out.withColumn("new_id", F.concat("prefix", F.when(F.length(value) > 4, value).otherwise(F.lpad(value, 4, "0")))).drop("prefix", "n", "last")
 
 
-__all__ = ["alias_hits", "lead_token_agrees", "master_matches", "number_rows", "resolve", "similar_names", "vendor_master"]
+__all__ = ["Masters", "alias_hits", "known_matches", "lead_token_agrees", "master_matches", "masters_of", "number_rows", "resolve", "similar_names", "vendor_master"]

@@ -254,6 +254,14 @@ def nv3_nv5_resolve(spark, d):
     return V.resolve(rows, V.vendor_master(t, runs), [("R-7", "Zumba Works", [VENDORS[1].upper()])]).select("id", "resolved")
 
 
+@query(f"SELECT id, CASE WHEN vendor = '{VENDORS[1]}' THEN 'Zumba Works' ELSE vendor END AS resolved FROM ({BANK}) b")
+def nv5_resolve_known(spark, d):
+    """Resolution against the names of all finished runs, which are listed once and not for each run."""
+    t = fixture.txns(spark, d)
+    rows = t.where("side = 'bank'").withColumn("extracted", S.counterparty(F.col("narration")))
+    return V.resolve(rows, V.masters_of(t, fixture.runs(spark, d)), [("R-7", "Zumba Works", [VENDORS[1].upper()])]).select("id", "resolved")
+
+
 @query(f"""SELECT DISTINCT run_id, substr(vendor, 1, 1) || 'ws' AS vendor, CASE WHEN count(DISTINCT vendor) OVER (PARTITION BY run_id, substr(vendor, 1, 1)) = 1 THEN vendor || ' web stores' END AS matched
 FROM (SELECT DISTINCT run_id, vendor FROM ({LEDGER})) WHERE true""")
 def nv4_initials(spark, d):
