@@ -91,7 +91,10 @@ def vendor_history(past: DataFrame, asked: DataFrame) -> DataFrame:
 def run_history(past: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, side, vendor, n, first_seen): every vendor that earlier periods of a run hold."""
     first = past.groupBy("side", "vendor").agg(F.min("period").alias("since"))
-    asked = first.join(F.broadcast(runs.select("run_id", "period")), F.col("since") < F.col("period")).drop("since")
+    # the months that have runs are few; each vendor gets those after its first, and runs come in by equality
+    months = sorted(r["period"] for r in runs.where("period is not null").select("period").distinct().collect())
+    later = F.filter(F.array(*map(F.lit, months)).cast("array<string>"), lambda p: p > F.col("since"))
+    asked = first.select("side", "vendor", F.explode(later).alias("period")).join(runs.select("run_id", "period"), "period")
     told = vendor_history(past, asked)
     return asked.join(told, ["side", "vendor", "period"]).select("run_id", "side", "vendor", F.col("prior").alias("n"), "first_seen")
 

@@ -56,7 +56,7 @@ def vendor_master(txns: DataFrame, runs: DataFrame) -> DataFrame:
     counts = ledger.join(done, "run_id").select("run_id", F.col("vendor").alias("master")).distinct()
     every = counts.groupBy("master").agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("only"))
     # names of other runs: all of them for every run, less those that only the run itself has
-    elsewhere = F.broadcast(runs.select("run_id")).withColumn("one", F.lit(1)).join(every.withColumn("one", F.lit(1)), "one").where((F.col("n") > 1) | (F.col("only") != F.col("run_id")))
+    elsewhere = runs.select("run_id").withColumn("one", F.lit(1)).join(every.withColumn("one", F.lit(1)), "one").where((F.col("n") > 1) | (F.col("only") != F.col("run_id")))
     both = own.select("run_id", "master", F.lit(0).alias("far"), "first").unionByName(elsewhere.select("run_id", "master", F.lit(1).alias("far"), F.lit(None).cast("long").alias("first")))
     once = both.groupBy("run_id", "master").agg(F.min("far").alias("far"), F.min("first").alias("first"))
     return once.select("run_id", "master", F.row_number().over(W.partitionBy("run_id").orderBy("far", "first", "master")).alias("ord"))
