@@ -8,6 +8,7 @@ component at a time.
 
 from __future__ import annotations
 
+from collections import deque
 from decimal import Decimal
 from functools import reduce
 
@@ -420,37 +421,72 @@ def without_matched(txns: DataFrame, pairs: DataFrame) -> DataFrame:
     return txns.join(ids, ["run_id", "id"], "left_anti")
 
 
-def _with_ties(frame: pd.DataFrame) -> pd.DataFrame:
-    """Bank rows in order, each to its first ledger row that is still free."""
-    frame = frame.sort_values(["b_ord", "b_id", "l_ord", "l_id"], kind="stable")
-    banks, ledgers, keep = set(), set(), []
-    for i, (b, k) in enumerate(zip(frame["b_id"], frame["l_id"])):
-        if b not in banks and k not in ledgers:
-            banks.add(b)
-            ledgers.add(k)
-            keep.append(i)
-    return frame.iloc[keep][["run_id", "b_id", "l_id"]]
+def _in_order(frame: pd.DataFrame) -> pd.DataFrame:
+    """Bank rows in order, each to the first ledger row that is still free in a class that its own class may pair with.
+
+    Rows of ``frame`` are edges of classes (side null; ``rep`` and ``other``) and the rows of both sides (``rep``: their class).
+    """
+    ways, queues = {}, {}
+    for r in frame[frame["side"].isna()].itertuples(index=False):
+        ways.setdefault(r.rep, []).append(r.other)
+    rows = frame[frame["side"].notna()].sort_values(["ord", "id"], kind="stable")
+    for r in rows[rows["side"] == "ledger"].itertuples(index=False):
+        queues.setdefault(r.rep, deque()).append((r.ord, r.id))
+    out = []
+    for r in rows[rows["side"] == "bank"].itertuples(index=False):
+        free = [queues[c] for c in ways.get(r.rep, ()) if queues.get(c)]
+        if free:
+            first = min(free, key=lambda q: q[0])
+            out.append((r.run_id, r.id, first.popleft()[1]))
+    return pd.DataFrame(out, columns=["run_id", "b_id", "l_id"])
+
+
+def pairs_in_order(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, b_id, l_id): bank rows by ord and id, each with its first free ledger row, where classes may pair.
+
+    ``rows`` are (run_id, side, id, ord, rep, nth): ``rep`` names a row's class and ``nth`` is its place there; ``edges``
+    (run_id, b_rep, l_rep) are distinct. Two classes that meet no other pair row by row, at any size, in a join. Other
+    classes are solved by component: their rows are sent once each, never the pairs of rows.
+    """
+    lone = (F.count(F.lit(1)).over(W.partitionBy("run_id", "b_rep")) == 1) & (F.count(F.lit(1)).over(W.partitionBy("run_id", "l_rep")) == 1)
+    edges = stash(edges.withColumn("lone", lone), "class-edges")
+    of = lambda s, c: rows.where(F.col("side") == s).select("run_id", F.col("rep").alias(f"{c}_rep"), "nth", F.col("id").alias(f"{c}_id"))
+    single = edges.where("lone").join(of("bank", "b"), ["run_id", "b_rep"]).join(of("ledger", "l"), ["run_id", "l_rep", "nth"]).select("run_id", "b_id", "l_id")
+    node = lambda s, c: F.concat_ws("\u0001", s, "run_id", c)
+    tied = edges.where("not lone").withColumns({"a": node(F.lit("bank"), "b_rep"), "b": node(F.lit("ledger"), "l_rep")})
+    groups = stash(connected_components(tied), "class-groups")
+    blank = lambda kind: F.lit(None).cast(kind)
+    ways = tied.join(groups.withColumnRenamed("node", "a"), "a").select("component", "run_id", blank("string").alias("side"), F.col("b_rep").alias("rep"), F.col("l_rep").alias("other"), F.lit(0).cast("long").alias("ord"), blank("string").alias("id"))
+    members = rows.withColumn("node", node(F.col("side"), "rep")).join(groups, "node").select("component", "run_id", "side", "rep", blank("string").alias("other"), F.col("ord").cast("long").alias("ord"), "id")
+    return single.unionByName(by_component(ways.unionByName(members)).applyInPandas(_in_order, "run_id string, b_id string, l_id string"))
 
 
 def withheld_pairs(txns: DataFrame, p: Pass, rules: Rules, same_account: DataFrame | None = None) -> DataFrame:
-    """Pairs whose bank amount is the ledger amount net of a withheld tax, rule by rule, first free row first."""
+    """Pairs whose bank amount is the ledger amount net of a withheld tax, rule by rule, first free row first.
+
+    Rows of one amount, date, name and account are one class, and only classes meet: equal fees do not multiply.
+    """
     out = None
     for rule in rules.withheld:
         rate = F.lit(1 - rule.rate).cast("decimal(6,4)")
-        bank, ledger = side(txns, "bank", "b"), side(txns, "ledger", "l")
+        alike = W.partitionBy("run_id", "side", "amount", "date", "vendor", "account_id")
+        numbers = {"rep": F.min("id").over(alike), "nth": F.row_number().over(alike.orderBy("ord", "id"))}
+        rows = stash(txns.select("run_id", "side", "id", "ord", "amount", "date", "vendor", "account_id").withColumns(numbers), "withheld-classes")
+        reps = rows.where("id = rep")
+        of = lambda s, c: reps.where(F.col("side") == s).select("run_id", *[F.col(x).alias(f"{c}_{x}") for x in ("rep", "amount", "date", "vendor", "account_id")])
         net = F.bround((F.col("l_amount") * rate), 2)
         days = max(p.days, 3)
-        near = near_join(bank, ledger, ["run_id"], [(F.col("b_amount"), net, 1), (day_number(F.col("b_date")), day_number(F.col("l_date")), days)])
+        near = near_join(of("bank", "b"), of("ledger", "l"), ["run_id"], [(F.col("b_amount"), net, 1), (day_number(F.col("b_date")), day_number(F.col("l_date")), days)])
         near = near.where((F.col("b_amount") < 0) == (F.col("l_amount") < 0))
         if same_account is not None:
             near = near.join(same_account, "run_id", "left").where(~F.coalesce("same_account", F.lit(False)) | (F.col("b_account_id") == F.col("l_account_id"))).drop("same_account")
-        near = stash(with_similarity(near, "b_vendor", "l_vendor").where("similarity >= 0.85"), "withheld")
-        node = lambda s, c: F.concat_ws("\u0001", F.lit(s), "run_id", c)
-        keyed = near.withColumn("a", node("b", "b_id")).withColumn("b", node("l", "l_id"))
-        groups = connected_components(keyed)
-        chosen = keyed.join(groups.withColumnRenamed("node", "a"), "a").select("component", "run_id", "b_id", "l_id", "b_ord", "l_ord")
-        chosen = by_component(chosen).applyInPandas(_with_ties, "run_id string, b_id string, l_id string")
-        made = scored(near.join(chosen, ["run_id", "b_id", "l_id"]))
+        near = stash(with_similarity(near, "b_vendor", "l_vendor").where("similarity >= 0.85").select("run_id", "b_rep", "l_rep", "similarity"), "withheld")
+        rows = rows.select("run_id", "side", "id", "ord", "rep", "nth")
+        chosen = stash(pairs_in_order(rows, near.select("run_id", "b_rep", "l_rep")), "withheld-chosen")
+        told = chosen.join(side(txns, "bank", "b"), ["run_id", "b_id"]).join(side(txns, "ledger", "l"), ["run_id", "l_id"])
+        for s, c in (("bank", "b"), ("ledger", "l")):
+            told = told.join(rows.where(F.col("side") == s).select("run_id", F.col("id").alias(f"{c}_id"), F.col("rep").alias(f"{c}_rep")), ["run_id", f"{c}_id"])
+        made = scored(told.join(near, ["run_id", "b_rep", "l_rep"]).drop("b_rep", "l_rep"))
         tax = F.abs(F.col("l_amount") - F.col("b_amount")).cast("decimal(18,2)").cast("string")
         note = F.concat(F.lit(f"Matched net of {rule.rate * 100:.0f}% TDS — split ₹"), tax, F.lit(f" to TDS payable ({rule.rule_id})"))
         made = stash(pairs_of(made.withColumn("note", note).withColumn("used", F.array(F.lit(rule.rule_id))), P2), "withheld-pairs")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reckon.operators import detectors as D
 from reckon.operators import findings as G
 from reckon.operators import matching as M
-from reckon.operators import medians
+from reckon.operators import medians, mining
 from reckon.plans.config import DETECTORS, P1, P2, P4, Classify, Hold, Rules, Tolerance, Withheld, compile_rules
 
 
@@ -106,7 +106,10 @@ def test_findings_cover_each_row_once_in_order(spark):
             other = rng.choice(mates)
             edges.append((run, i, "no_counterpart", 9, [other], {"otherAccountTxn": other}))
     signals = spark.createDataFrame(edges, "run_id string, id string, detector string, place int, evidence array<string>, details map<string,string>")
-    got = {(r.run_id, r.id): list(r.covered) for r in G.cover(spark.createDataFrame(rows, "run_id string, id string, side string, date date"), signals).collect()}
+    open_ = spark.createDataFrame(rows, "run_id string, id string, side string, date date")
+    got = {(r.run_id, r.id): list(r.covered) for r in G.cover(open_, signals).collect()}
+    # the same with wide components thinned out in rounds
+    assert {(r.run_id, r.id): list(r.covered) for r in G.cover(open_, signals, wide_rows=12).collect()} == got
     want = {}
     for run in ("r0", "r1", "r2"):
         crossed = {i for r, i, d, *_ in edges if r == run and d == "no_counterpart"}
@@ -120,3 +123,44 @@ def test_findings_cover_each_row_once_in_order(spark):
             want[run, i] = [i, *free]
             done.update(want[run, i])
     assert got == want
+
+
+def test_rows_of_a_hot_partner_settle_in_two_rounds(spark):
+    rows = [("r", "hub", "ledger", dt.date(2026, 9, 1))] + [("r", f"t{i:04}", "bank", dt.date(2026, 9, 2)) for i in range(3000)]
+    open_ = spark.createDataFrame(rows, "run_id string, id string, side string, date date")
+    signals = open_.where("side = 'bank'").selectExpr("run_id", "id", "'amount_mismatch' AS detector", "7 AS place", "array('hub') AS evidence", "map('side', 'bank') AS details")
+    edges = G.partner_edges(signals)
+    turn = F.struct(F.lit(True).alias("late"), (F.col("side") != "bank").alias("not_bank"), "date", "id")
+    tied = open_.select(F.lit("c").alias("component"), "run_id", "id", turn.alias("turn"))
+    left, made = G.thin_out(tied, edges, 100)
+    assert left.count() == 0 and [m.count() for m in made] == [1, 2999]
+    assert made[0].collect()[0].covered == ["t0000", "hub"]
+
+
+def test_date_proposals_replay_touched_rows_only(spark, monkeypatch):
+    """The same gains as on whole copies of the runs, from fewer rows."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        vendor, amount = rng.choice(["kofi traders", "zumba fitness", "blast media", "orion labs"]), rng.randint(1, 25) * 100
+        day = dt.date(2026, 9, rng.randint(1, 18))
+        rows.append((f"r{i % 2}", "ledger", f"l{i:03}", day, Decimal(-amount), vendor, "", None, "a", None, i))
+        if rng.random() < 0.7:
+            late = rng.choice([0, 1, 2, 5, 8]) if vendor.startswith(("kofi", "zumba")) else rng.choice([0, 1, 2])
+            rows.append((f"r{i % 2}", "bank", f"b{i:03}", day + dt.timedelta(days=late), Decimal(-amount) + Decimal(rng.choice(["0.00", "0.00", "0.50"])), vendor, "", None, "a", None, i))
+    t = spark.createDataFrame(rows, "run_id string, side string, id string, date date, amount decimal(18,2), vendor string, narration string, reference string, account_id string, channel string, ord long").cache()
+    told = lambda: sorted(map(tuple, mining.date_proposals(t).collect()))
+    sizes = []
+    real = mining.touched_rows
+
+    def counted(*a):
+        out = real(*a)
+        sizes.append((out.count(), out.select("trial").distinct().count()))
+        return out
+
+    monkeypatch.setattr(mining, "touched_rows", counted)
+    got = told()
+    monkeypatch.setattr(mining, "touched_rows", lambda unmatched, found, flags=None: unmatched.join(found.select("run_id", "trial"), "run_id").select("run_id", "side", "id", "trial"))
+    assert got == told() and len(got) >= 2
+    n, trials = sizes[0]
+    assert n < 0.8 * t.count() / 2 * trials
