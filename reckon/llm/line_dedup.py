@@ -31,129 +31,12 @@ GRAM_WORDS = 25
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-WINDOWS = T.ArrayType(T.StructType([T.StructField(c, t) for c, t in (("first", T.IntegerType()), ("last", T.IntegerType()), ("content", T.LongType()), ("print_at", T.IntegerType()), ("print", T.LongType()))]))
-
-
-def line_bounds(body: bytes) -> list[int]:
-    """Byte offsets at which the lines of a text start, and its end; a line keeps its line feed."""
-    cut = np.flatnonzero(np.frombuffer(body, np.uint8) == 10) + 1
-    return [0, *cut.tolist(), *([len(body)] if not len(cut) or cut[-1] < len(body) else [])]
-
-
-def windows_of(words: np.ndarray, hashes: np.ndarray, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> list[tuple[int, int, int, int, int]]:
-    """(first line, last line, content hash, fingerprint's line, fingerprint) of each window of one document.
-
-    ``words`` and ``hashes`` describe the document's lines; lines without words are passed over by the caller.
-    """
-    n = len(words)
-    total = np.concatenate([[0], np.cumsum(words)])
-    chain = np.zeros(n + 1, np.uint64)
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _MIX, np.uint64)]), dtype=np.uint64)
-    np.cumsum(hashes * powers[:n], out=chain[1:])
-    inverse = np.uint64(pow(int(_MIX), -1, 1 << 64))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse, np.uint64)]), dtype=np.uint64)
-
-    def runs(least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ends (exclusive) and hashes of the shortest run of ``least`` words from each line; end n + 1: none."""
-        end = np.searchsorted(total, total[:-1] + least, "left")
-        ok = end <= n
-        e = np.minimum(end, n)
-        h = (chain[e] - chain[:-1]) * back[:n]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        return np.where(ok, end, n + 1), h
-
-    gram_end, gram = runs(gram_words)
-    run_end, run = runs(run_words)
-    count = int((run_end <= n).sum())
-    if not count:
-        return []
-    # grams that start at most run_words - gram_words words behind the window's start lie inside the window
-    upto = np.searchsorted(total[:-1], total[:-1] + (run_words - gram_words), "right")
-    best = np.arange(n)
-    step = 1
-    while True:
-        more = np.flatnonzero(np.arange(n) + step < upto)
-        if not len(more):
-            break
-        better = gram[more + step] < gram[best[more]]
-        best[more[better]] = more[better] + step
-        step += 1
-    out = np.flatnonzero(run_end <= n)
-    p = best[out]
-    return list(zip(out.tolist(), (run_end[out] - 1).tolist(), run[out].view(np.int64).tolist(), p.tolist(), gram[p].view(np.int64).tolist()))
-
-
-def _lines(run_words: int, gram_words: int):
-    def f(data: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> list[pa.Array]:
-        n = len(offsets) - 1
-        starts, ends, first = find_words(data, offsets, NONSPACE)
-        hashes = hash_words(data, starts, ends)
-        feeds = np.flatnonzero(data == 10)
-        n_lines, n_words, rows = np.zeros(n, np.int64), np.diff(first), []
-        for i in range(n):
-            a, b = offsets[i], offsets[i + 1]
-            cut = feeds[np.searchsorted(feeds, a) : np.searchsorted(feeds, b)] + 1
-            bounds = np.concatenate([[a], cut[cut < b], [b]]) if b > a else np.array([a])
-            n_lines[i] = len(bounds) - 1
-            if n_words[i] < run_words:
-                rows.append([])
-                continue
-            at = np.searchsorted(starts[first[i] : first[i + 1]], bounds[:-1]) + first[i]
-            count = np.diff(np.append(at, first[i + 1]))
-            used = np.flatnonzero(count)
-            weight = np.arange(first[i + 1] - first[i]) - np.repeat(at[used] - first[i], count[used])
-            h = hashes[first[i] : first[i + 1]] * ((weight.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _MIX)
-            h ^= h >> np.uint64(32)
-            line = np.add.reduceat(h, at[used] - first[i])
-            rows.append([{"first": int(used[s]), "last": int(used[e]), "content": c, "print_at": int(used[q]), "print": g} for s, e, c, q, g in windows_of(count[used], line, run_words, gram_words)])
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("content", pa.int64()), ("print_at", pa.int32()), ("print", pa.int64())]))
-        return [pa.array(n_lines), pa.array(n_words, pa.int64()), pa.array(rows, kind)]
-
-    return f
 
 
 def _text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """Whole lines only: id, ``text_key``, ``n_lines``, ``n_words``, and ``runs``, merged ranges of repeated lines.
-
-    This is narrower than ``repeated_spans``: it sees windows that start with a line and end with one, so it
-    finds neither passages inside longer lines nor the lines of a run behind its last such window.
-
-    A window of lines is deleted if the same lines (words and letters' cases of A-Z and white space within
-    lines ignored) stand at an earlier position, in the order of id (null last), text key and line. Lines
-    without words are passed over and stay. Null and empty texts have no run; rows with equal id and text are
-    one document and lose the same lines; an empty table gives no rows.
-    """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _text_key(text_col).alias("text_key"))
-    fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("windows", WINDOWS)]
-    lines = stash(map_texts(base, fields, lambda: _lines(run_words, gram_words), keep=["id", "text_key"]), "line-windows")
-    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("text_key"), F.col("w.first").alias("line"))
-    windows = lines.select("id", "text_key", F.explode("windows").alias("w")).select("id", "text_key", order.alias("place"), "w.*")
-    spot = F.struct("place.no_id", "id", "text_key", "print_at")
-    prints = windows.groupBy("print").agg(F.min(spot).alias("least"), F.max(spot).alias("most")).where(~F.col("least").eqNullSafe(F.col("most"))).select("print")
-    joined = windows.join(prints, "print", "left_semi")
-    firsts = joined.groupBy("content").agg(F.min("place").alias("origin"), F.max("place").alias("latest")).where(~F.col("origin").eqNullSafe(F.col("latest")))
-    later = joined.join(firsts.select("content", "origin"), "content").where(~F.col("place").eqNullSafe(F.col("origin")))
-    ranges = later.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("ranges"))
-
-    def chain(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        both = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))
-        return F.when((F.size(done) > 0) & (x["first"] <= last["last"] + 1), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
-
-    kind = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
-    empty = F.array().cast(kind)
-    runs = ranges.select(F.col("id").alias("id2"), F.col("text_key").alias("key2"), F.aggregate("ranges", empty, chain).alias("runs"))
-    narrow = lines.drop("windows")
-    out = narrow.join(runs, narrow["id"].eqNullSafe(runs["id2"]) & (narrow["text_key"] == runs["key2"]), "left")
-    return out.select(F.col("id").alias(id_col), "text_key", "n_lines", "n_words", F.coalesce("runs", empty).alias("runs"))
-
-
 #: Places are numbers: a document's number in the order of ids, then 30 bits for a word of it.
 _WORD_BITS = 30
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))

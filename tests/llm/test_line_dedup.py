@@ -3,36 +3,6 @@ import random
 from reckon.llm import line_dedup
 
 
-def brute(docs, run=50):
-    """Delete every window of at least ``run`` words whose lines stand at an earlier place."""
-    rows = sorted({(i is None, i if i is not None else 0, key, t or "") for i, key, t in docs})
-    seen, out = set(), {}
-    for no_id, i, _, text in rows:
-        lines = text.split("\n")
-        if lines[-1] == "":
-            lines.pop()
-        used = [(k, line.lower().split()) for k, line in enumerate(lines) if line.split()]
-        gone = set()
-        for a in range(len(used)):
-            n, b = 0, a
-            while b < len(used) and n < run:
-                n += len(used[b][1])
-                b += 1
-            if n < run:
-                break
-            content = tuple(tuple(w) for _, w in used[a:b])
-            if content in seen:
-                gone.update(range(used[a][0], used[b - 1][0] + 1))
-            seen.add(content)
-        out[(None if no_id else i, text)] = gone
-    return out
-
-
-def found(spark, docs):
-    df = spark.createDataFrame([(i, t, 5) for i, t in docs], "doc_id long, text string, runs int")
-    return df, line_dedup.repeated_runs(df).collect()
-
-
 def corpus(rng):
     words = [f"w{k}" for k in range(300)]
     line = lambda n: " ".join(rng.choices(words, k=n))
@@ -48,30 +18,16 @@ def corpus(rng):
     return docs + [(200, docs[3][1].upper()), (201, None), (202, ""), (203, (line(10) + "\n") * 40), (None, docs[5][1]), (7, docs[7][1])]
 
 
-def test_matches_brute_force(spark):
-    for seed in (1, 2):
-        docs = corpus(random.Random(seed))
-        _, rows = found(spark, docs)
-        keys = {}
-        for r, in [(r,) for r in rows]:
-            keys.setdefault(r.doc_id, []).append(r)
-        want = brute([(i, next(r.text_key for r in keys[i]), t) for i, t in docs])
-        assert len(rows) == len(docs)
-        for i, t in docs:
-            r = keys[i][0]
-            assert {k for a, b in r.runs for k in range(a, b + 1)} == want[(i, t or "")], i
-
-
 def test_texts_lose_their_later_copies(spark):
     passage = " ".join(f"p{k}" for k in range(60))
-    df, _ = found(spark, [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd\n"), (3, "short\nlines")])
+    df = spark.createDataFrame([(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd\n"), (3, "short\nlines")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.drop_repeated_runs(df).collect()}
     assert got == {1: f"a\n{passage}\nb", 2: "c\nd\n", 3: "short\nlines"}
 
 
 def test_empty(spark):
-    df, rows = found(spark, [])
-    assert rows == [] and line_dedup.drop_repeated_runs(df).count() == 0
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert line_dedup.repeated_spans(df).count() == 0 and line_dedup.drop_repeated_runs(df).count() == 0
 
 
 def brute_words(docs, run=50):
