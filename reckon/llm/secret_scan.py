@@ -32,17 +32,20 @@ _HEX[48:58] = _HEX[97:103] = True
 
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|authorization|auth[_-]?key|signature", re.IGNORECASE | re.ASCII)
 _SENSITIVE_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"auth", b"signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{12,}")
-_KINDS = re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^*-]{12,}")
+_KINDS = re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"), re.compile("[!@#$%^*]")
 LEAST_CHARS = 12
-REACH = 48
+#: Characters behind a sensitive word within which a candidate starts.
+REACH = 128
 AROUND = 256
 #: A novel string costs at least this share of its length. A block has a head of three bytes.
 NOVEL_SHARE = 0.9
 BLOCK, BLOCK_HEAD = 24, 3
 LEVEL = 19
-#: A candidate has so many characters each of two of the kinds small letters, capitals and digits.
+#: A candidate has so many characters each of two kinds, or a digit between letters and pieces of one kind that are short.
 KIND_CHARS = 3
+PIECE_CHARS = 7
+_INSIDE, _PIECE = re.compile("[A-Za-z][0-9]+[A-Za-z]"), re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: The dictionary's size, and in how many 64ths of the texts (by hash) a word must occur to stand in it.
 DICTIONARY_BYTES = 48 << 10
 LEAST_SPREAD = 5
@@ -101,6 +104,13 @@ class Novelty:
             size += len(stream.compress(string[at : at + BLOCK].encode())) + len(stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)) - BLOCK_HEAD
         return size
 
+    @staticmethod
+    def is_mixed(s: str) -> bool:
+        """Not a plain word, number or date: kinds of characters are mixed, if only by digits inside a word."""
+        if sum(len(kind.findall(s)) >= KIND_CHARS for kind in _KINDS) >= 2:
+            return True
+        return sum(map(str.isalpha, s)) >= KIND_CHARS and bool(_INSIDE.search(s)) and len(s) <= PIECE_CHARS * len(_PIECE.findall(s))
+
     def is_novel(self, around: str, string: str) -> bool:
         """Neither the string nor its words in small letters can be pieced together from what is known."""
         words = " ".join(_EDGE.sub(" ", string).lower().split())
@@ -116,7 +126,7 @@ class Novelty:
         return (before[-AROUND:] + after[:AROUND]).replace("\0", "")
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        """Incompressible strings of two kinds of characters within reach behind a sensitive word.
+        """Incompressible strings of mixed kinds of characters within reach behind a sensitive word.
 
         A string that is novel at one of its places is reported at all of those within reach.
         """
@@ -126,7 +136,7 @@ class Novelty:
                 whole = CANDIDATE.match(text, m.start())
                 s = whole.group()
                 done = max(done, whole.end())
-                if sum(len(kind.findall(s)) >= KIND_CHARS for kind in _KINDS) < 2:
+                if not self.is_mixed(s):
                     continue
                 # the value of a setting is the same secret behind any name
                 parts = sorted({s, *(p for p in s.split("=") if len(p) >= LEAST_CHARS)}, key=lambda p: (-len(p), p))

@@ -74,6 +74,30 @@ def test_planted_secrets_and_benign_strings(spark):
     assert sum(found(m) for m in benign for _ in range(30)) <= 0.1 * 30 * len(benign)
 
 
+def test_every_kind_and_length_is_found():
+    """Each kind at each length, up to the reach behind the word; not one rate over all."""
+    rng = random.Random(31)
+    novelty = secret_scan.Novelty(secret_scan.IDENTIFIERS.encode())
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    kinds = {"all": low + up + digits, "small": low + digits, "capitals": up + digits, "base32": up + "234567", "symbols": low + up + digits + "!@#$%", "hex": "0123456789abcdef", "letters": low + up, "base64": low + up + digits + "+/"}
+    filler = "the quiet river runs under the old stone bridge and on to the sea and back again to the hills " * 2
+
+    def rate(chars, n, gap):
+        found = 0
+        for _ in range(100):
+            s = "".join(rng.choices(chars, k=n))
+            lead = f"see the bearer {filler[:gap].strip()} "
+            found += any(a <= len(lead) and len(lead) + n <= b for a, b in novelty.spans(f"{lead}{s} {filler}"))
+        return found / 100
+
+    for name, chars in kinds.items():
+        for n in (16, 20, 24, 32, 48):
+            assert rate(chars, n, 0) >= 0.9, (name, n)
+    for gap in (40, 60, 90, 120):
+        assert rate(kinds["all"], 24, gap) >= 0.9, gap
+    assert rate(kinds["all"], 24, secret_scan.REACH + 2) == 0
+
+
 def test_novel_strings_of_the_documents_lie_in_sensitive_places(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = secret_scan.find_secrets(docs, secret_scan.fit_dictionary(docs)).collect()
