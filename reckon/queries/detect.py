@@ -316,3 +316,40 @@ def cl6_detector_dry_run(spark, d):
     before = D.high_value(case)
     case.runs = s.runs.withColumn("high_value", F.lit(200000).cast("decimal(18,2)"))
     return G.detector_dry_run(before, D.high_value(case), s.unmatched).drop("samples")
+
+
+@query("""SELECT run_id, count(*) FILTER (WHERE open_) AS open_rows, CAST(right(run_id, 1) AS INT) % 3 = 0 OR count(*) FILTER (WHERE open_) = 0 AS covered_once
+FROM (SELECT i.*, EXISTS (SELECT 1 FROM u WHERE u.run_id = i.run_id AND u.id = i.id) AS open_ FROM i) GROUP BY run_id""")
+def cl4_broken_coverage(spark, d):
+    """The proof fails where a finding loses a row (a third of the runs) or a row has two findings (another third)."""
+    s = State(spark, d)
+    kind = F.right("run_id", F.lit(1)).cast("int") % 3
+    first = s.unmatched.groupBy("run_id").agg(F.min("id").alias("first"))
+    found = s.findings.select("run_id", "covered").join(first, "run_id")
+    lost = found.select("run_id", F.when(kind == 1, F.array_remove("covered", F.col("first"))).otherwise(F.col("covered")).alias("covered"))
+    twice = first.where(kind == 2).select("run_id", F.array("first").alias("covered"))
+    return G.coverage_proof(s.unmatched, lost.unionByName(twice), s.txns).select("run_id", "open_rows", "covered_once")
+
+
+@query("""SELECT run_id, account_id, CAST(1000 AS DECIMAL(28,2)) AS opening, sum(amount)::DECIMAL(28,2) AS total, (1000 + sum(amount) + CASE WHEN account_id = 'acc1' AND count(*) > 1 THEN 1 ELSE 0 END)::DECIMAL(28,2) AS closing,
+account_id <> 'acc1' OR count(*) = 1 AS agrees FROM i WHERE side = 'bank' GROUP BY run_id, account_id""")
+def cl5_broken_statement(spark, d):
+    """Statements of one account whose balances are one too high from the second row on."""
+    from pyspark.sql import Window as W
+
+    rows = fixture.inside(spark, d).where("side = 'bank'")
+    own = W.partitionBy("run_id", "account_id").orderBy("ord")
+    upto = F.sum("amount").over(own.rowsBetween(W.unboundedPreceding, 0))
+    off = F.when((F.col("account_id") == "acc1") & (F.row_number().over(own) > 1), 1).otherwise(0)
+    return G.statement_sanity(rows.withColumn("balance", upto + 1000 + off), ["run_id", "account_id"])
+
+
+@query("""SELECT run_id, coalesce(string_agg(id, ',' ORDER BY n) FILTER (WHERE amount_now AND n <= 3), '') AS samples FROM (SELECT *, abs(amount) < 300000 AS amount_now, row_number() OVER (PARTITION BY run_id ORDER BY abs(amount) >= 300000, ord, id) AS n
+FROM u WHERE abs(amount) >= 200000) GROUP BY run_id""")
+def cl6_dry_run_samples(spark, d):
+    """The first three rows of each run that a lower bound of high values newly flags."""
+    s = State(spark, d)
+    case = s.case
+    before = D.high_value(case)
+    case.runs = s.runs.withColumn("high_value", F.lit(200000).cast("decimal(18,2)"))
+    return G.detector_dry_run(before, D.high_value(case), s.unmatched).select("run_id", F.array_join("samples", ",").alias("samples"))
