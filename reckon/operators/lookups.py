@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from reckon.durable import stash
 from reckon.functions.scalars import month_start
 from reckon.functions.similarity import with_similarity
+from reckon.operators.detectors import banded
 from reckon.operators.matching import day_number, near_join
 from reckon.operators.medians import counted_amounts, histograms_before, middles_before
 from reckon.operators.name_join import similar_pairs
@@ -18,16 +21,40 @@ def _other(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", *[F.col(c).alias(f"o_{c}") for c in ("id", "side", "date", "amount", "vendor", "ord")])
 
 
+#: Shares of an amount within which its nearest rows are looked for in turn, up to the quarter that a search reaches.
+REACHES = (0.0002, 0.001, 0.005, 0.025, 0.1, 0.25)
+
+
 def search_other_side(focus: DataFrame, pool: DataFrame, top: int = 8, days: int = 7) -> DataFrame:
     """Rows of the other side within days whose amount is within a quarter or whose vendor is similar (.8; .6 where
-    the focus has no amount), nearest amount first, then the most similar vendor."""
+    the focus has no amount), nearest amount first, then the most similar vendor.
+
+    Rows of nearer amounts come first whatever their vendor, so a focus that has ``top`` of them within a small share of its
+    amount is done; only the others look further, and only those with fewer within the quarter ask for all similar vendors.
+    """
     t = focus.select("run_id", "id", "side", "date", "amount", "vendor").withColumn("o_side", F.when(F.col("side") == "bank", "ledger").otherwise("bank"))
-    near = near_join(t, _other(pool), ["run_id", "o_side"], [(day_number(F.col("date")), day_number(F.col("o_date")), days)])
-    near = with_similarity(near, "vendor", "o_vendor")
-    gap = F.abs(F.col("o_amount") - F.col("amount"))
-    close = F.coalesce((gap <= F.abs("amount") * F.lit("0.25").cast("decimal(3,2)")), F.lit(False)) | (F.col("similarity") >= F.when(F.col("amount").isNull(), 0.6).otherwise(0.8))
-    rank = F.row_number().over(W.partitionBy("run_id", "id").orderBy(F.coalesce(gap, F.lit(0)), F.desc("similarity"), "o_ord", "o_id"))
-    return near.where(close).withColumn("gap", (F.col("o_amount") - F.col("amount")).cast("decimal(18,2)")).withColumn("rank", rank).where(F.col("rank") <= top).select("run_id", "id", "o_id", "similarity", "gap", "rank")
+    others, gap = _other(pool), F.abs(F.col("o_amount") - F.col("amount"))
+    own = W.partitionBy("run_id", "id")
+    left, parts = t, []
+    for share in REACHES:
+        near = banded(left, others, share, days).withColumn("at", F.rank().over(own.orderBy(gap))).where(F.col("at") <= top)
+        near = stash(near.withColumn("found", F.count(F.lit(1)).over(own)), "search-near")
+        last = share == REACHES[-1]
+        parts.append((near if last else near.where(F.col("found") >= top)).drop("at", "found"))
+        left = left.join(near.where(F.col("found") >= top).select("run_id", "id").distinct(), ["run_id", "id"], "left_anti")
+        left = stash(left, "search-left")
+    keys = ["run_id", "o_side"]
+    met = t.select(*keys, "vendor").distinct().join(others.select(*keys, "o_vendor").distinct(), keys).select("vendor", "o_vendor").distinct()
+    names = stash(with_similarity(met, "vendor", "o_vendor").where("similarity >= 0.6"), "search-names")
+    apart = [(day_number(F.col("date")), day_number(F.col("o_date")), days)]
+    # rows without an amount count as nearest, so every focus asks for those of similar vendors
+    blank = near_join(t.join(names, "vendor"), others.where("o_amount is null"), [*keys, "o_vendor"], apart)
+    named = near_join(left.join(names, "vendor"), others.where("o_amount is not null"), [*keys, "o_vendor"], apart).unionByName(blank)
+    within = F.coalesce(gap <= F.abs("amount") * F.lit("0.25").cast("decimal(3,2)"), F.lit(False))
+    parts.append(named.where(~within & (F.col("similarity") >= F.when(F.col("amount").isNull(), 0.6).otherwise(0.8))).drop("similarity"))
+    near = with_similarity(reduce(DataFrame.unionByName, parts), "vendor", "o_vendor")
+    rank = F.row_number().over(own.orderBy(F.coalesce(gap, F.lit(0)), F.desc("similarity"), "o_ord", "o_id"))
+    return near.withColumn("gap", (F.col("o_amount") - F.col("amount")).cast("decimal(18,2)")).withColumn("rank", rank).where(F.col("rank") <= top).select("run_id", "id", "o_id", "similarity", "gap", "rank")
 
 
 def find_duplicates(focus: DataFrame, txns: DataFrame, days: int = 7) -> DataFrame:
