@@ -22,8 +22,7 @@ def reconciled_ledger(txns: DataFrame, pairs: DataFrame, findings: DataFrame) ->
     """Pairs and unmatched rows of each run in the fourteen columns of the reconciled ledger."""
     gl = F.col("gl_code") if "gl_code" in txns.columns else F.lit(None).cast("string")
     facts = txns.withColumn("gl", gl)
-    first_gl = pairs.select("run_id", "pair_id", F.get("ledger_ids", F.lit(0)).alias("id")).join(facts.select("run_id", "id", "gl"), ["run_id", "id"], "left").select("run_id", "pair_id", F.coalesce("gl", F.lit("")).alias("gl_code"))
-    p = pair_view(pairs, txns).join(first_gl, ["run_id", "pair_id"])
+    p = pair_view(pairs, facts).withColumn("gl_code", F.coalesce("ledger_gl", F.lit("")))
     matched = p.select(
         "run_id", F.col("pair_id").alias("match_id"), F.col("pass_name").alias("pass"), number_text(F.col("score")).alias("confidence"), "status", F.array_join("bank_ids", " ").alias("bank_ids"),
         F.col("bank_date").cast("string").alias("bank_date"), "bank_description", money_text(F.col("bank_amount")).alias("bank_amount"), F.array_join("ledger_ids", " ").alias("ledger_ids"),
