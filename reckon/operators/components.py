@@ -38,23 +38,27 @@ def by_component(rows: DataFrame, key: str = "component") -> GroupedData:
     return rows.repartition(n, key).groupBy(key)
 
 
-def solve_groups(rows: DataFrame, solve: Callable[[list], list[tuple]], schema: str, key: str = "component") -> DataFrame:
+def solve_groups(rows: DataFrame, solve: Callable[[list], list[tuple]], schema: str, *keys: str) -> DataFrame:
     """What ``solve`` makes of the rows (named tuples) of each group, group by group, in streams of sorted rows.
 
+    Groups are told apart by ``keys``, by default the component.
+
     For many small groups: a frame for each would cost more than its solution. Groups are dealt to all cores.
     """
     spark = rows.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     kind = to_arrow_schema(StructType.fromDDL(schema))
     Row = namedtuple("Row", rows.columns)
-    at = rows.columns.index(key)
+    keys = keys or ("component",)
+    at = [rows.columns.index(k) for k in keys]
+    of = lambda row: [row[i] for i in at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         made: list[tuple] = []
         for batch in batches:
             for row in map(Row._make, zip(*(c.to_pylist() for c in batch.columns))):
-                if held and row[at] != held[0][at]:
+                if held and of(row) != of(held[0]):
                     made += solve(held)
                     held = []
                 held.append(row)
@@ -65,7 +69,7 @@ def solve_groups(rows: DataFrame, solve: Callable[[list], list[tuple]], schema:
         if made:
             yield _batch(made, kind)
 
-    return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
