@@ -25,9 +25,9 @@ def _other(rows: DataFrame) -> DataFrame:
 REACHES = (0.0002, 0.001, 0.005, 0.025, 0.1, 0.25)
 
 
-def search_other_side(focus: DataFrame, pool: DataFrame, top: int = 8, days: int = 7) -> DataFrame:
+def search_other_side(focus: DataFrame, pool: DataFrame, top: int = 8, days: int = 7, alike_first: bool = True) -> DataFrame:
     """Rows of the other side within days whose amount is within a quarter or whose vendor is similar (.8; .6 where
-    the focus has no amount), nearest amount first, then the most similar vendor.
+    the focus has no amount), nearest amount first, then the most similar vendor (unless not ``alike_first``), then ord and id.
 
     Rows of nearer amounts come first whatever their vendor, so a focus that has ``top`` of them within a small share of its
     amount is done; only the others look further, and only those with fewer within the quarter ask for all similar vendors.
@@ -53,7 +53,7 @@ def search_other_side(focus: DataFrame, pool: DataFrame, top: int = 8, days: int
     within = F.coalesce(gap <= F.abs("amount") * F.lit("0.25").cast("decimal(3,2)"), F.lit(False))
     parts.append(named.where(~within & (F.col("similarity") >= F.when(F.col("amount").isNull(), 0.6).otherwise(0.8))).drop("similarity"))
     near = with_similarity(reduce(DataFrame.unionByName, parts), "vendor", "o_vendor")
-    rank = F.row_number().over(own.orderBy(F.coalesce(gap, F.lit(0)), F.desc("similarity"), "o_ord", "o_id"))
+    rank = F.row_number().over(own.orderBy(F.coalesce(gap, F.lit(0)), *[F.desc("similarity")][: int(alike_first)], "o_ord", "o_id"))
     return near.withColumn("gap", (F.col("o_amount") - F.col("amount")).cast("decimal(18,2)")).withColumn("rank", rank).where(F.col("rank") <= top).select("run_id", "id", "o_id", "similarity", "gap", "rank")
 
 

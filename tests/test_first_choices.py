@@ -11,7 +11,7 @@ PASSES = (
     "mt4_exact_match", "mt5_tolerance_match", "mt5_tenth_tolerance", "mt6_fuzzy_match", "mt7_scoped_tolerances", "mt7_mt15_rule_hits", "mt8_same_account", "mt10_withheld_tax",
     "mt14_relaxed_rerun", "mt15_pass_counts",
 )
-OTHERS = ("v1_run_statistics", "v8_trend", "io6_run_export")
+OTHERS = ("v1_run_statistics", "v8_trend", "io6_run_export", "lk1_search_other_side")
 
 
 @pytest.fixture(scope="module")
